@@ -20,6 +20,8 @@ from brindle.llm.common import map_append, map_rows
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn", "secret")
+#: Kinds whose regex labeler verifies a checksum; it starts as almost certain, with as much weight as the data.
+CHECKED = ("card", "iban")
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -197,7 +199,7 @@ def pattern_counts(docs: DataFrame) -> DataFrame:
             if t:
                 base, wrong = _scan(t)
                 c.update(pattern(t, *s) for s in base)
-                c.update(pattern(t, *s) for s in candidates(t, wrong))
+                c.update(pattern(t, *s) for s in candidates(t, wrong) if not any(s[1] < e and s[2] > b for _, b, e in base))
         return {"pattern": list(c), "n": list(c.values())}
 
     return map_rows(docs, run, "pattern string, n bigint", "text").groupBy("pattern").agg(F.sum("n").alias("n"))
@@ -222,8 +224,9 @@ def fit(counts: dict[str, int], rounds: int = 50) -> Model:
         for _ in range(rounds):
             w = m * q[rows]
             prior = (w.sum() + 1) / (m.sum() + 2)
-            good = np.array([((w * (v[:, j] == 1)).sum() + 8) / ((w * c[:, j]).sum() + 10) for j in range(3)])
-            bad = np.array([(((m - w) * (v[:, j] == 0)).sum() + 8) / (((m - w) * c[:, j]).sum() + 10) for j in range(3)])
+            sure = np.array([m.sum() if k in CHECKED else 0.0, 0, 0])
+            good = np.array([((w * (v[:, j] == 1)).sum() + 8 + 0.98 * sure[j]) / ((w * c[:, j]).sum() + 10 + sure[j]) for j in range(3)])
+            bad = np.array([(((m - w) * (v[:, j] == 0)).sum() + 8 + 0.98 * sure[j]) / (((m - w) * c[:, j]).sum() + 10 + sure[j]) for j in range(3)])
             yes = np.log(prior) + (np.log(good) * (v == 1) + np.log(1 - good) * (v == 0)).sum(1)
             no = np.log(1 - prior) + (np.log(1 - bad) * (v == 1) + np.log(bad) * (v == 0)).sum(1)
             q[rows] = 1 / (1 + np.exp(np.clip(no - yes, -30, 30)))

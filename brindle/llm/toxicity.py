@@ -31,8 +31,8 @@ MAX_LABELLED = 20_000
 LEXICON = 2_000
 CANDIDATES = 60_000
 PREFIX = range(3, 9)
-#: An entry needs this log-likelihood ratio (5 toxic documents and no clean one suffice) and this log odds.
-LEAST_G, LEAST_WEIGHT = 20.0, 2.5
+#: An entry needs this log-likelihood ratio (4 toxic documents and no clean one suffice) and this log odds.
+LEAST_G, LEAST_WEIGHT = 17.0, 2.5
 
 
 def fold(text: str) -> str:

@@ -25,11 +25,14 @@ ORDERS = (3, 4, 5)
 def labelled_urls() -> list[tuple[str, int]]:
     """A small labelled URL table, spelt out by rule: (url, 1 for block or 0 for allow).
 
-    Blocked are hosts and paths of trackers, gambling, adult pages and malware; allowed are ordinary sites whose
-    numbers, languages, suffixes and subdomains are the same, so that none of these tells the labels apart.
+    Blocked are hosts and paths of trackers, gambling, adult pages and malware; allowed are ordinary sites and invented
+    names. Numbers, languages, suffixes and subdomains are the same on both sides, so that none of these tells the labels
+    apart.
     """
     bad = "ads ads-track adserver tracker tracking clickbait casino poker betting pills viagra porn xxx sexcam warez crack malware phishing spam popup banner doubleclick".split()
     good = "blog news wiki docs library school science weather music recipes garden travel history museum city health sports books forum photo".split()
+    syllables = "an ble co de ea ed en er es ha he in ing ion ka la li ly ma men nd no nt on or ou ra re ri sa sh st ta th ti to tra ver wh".split()
+    good += ["".join(syllables[(i * k + i // 7) % len(syllables)] for k in (5, 11, 17)[: 2 + i % 2]) for i in range(1, 161)]
     urls = []
     for words, label in ((bad, 1), (good, 0)):
         for i, (word, (sub, tld)) in enumerate(product(words, (("", "com"), ("www.", "org"), ("m.", "net"), ("blog.", "org")))):
