@@ -8,7 +8,8 @@ band by the estimated cost of index rows and candidates.
 
 Documents with equal hashes form buckets. Buckets are reduced to stars within tasks and again after the shuffle; star
 edges are verified on whole sets; what a star leaves undecided in buckets of three or more is verified in blocks of
-documents of similar size, so no bucket is ever expanded into its pairs and no link is lost.
+documents of similar size, so no bucket is ever expanded into its pairs and no link is lost. Before texts are fetched,
+parity bitmaps of the sets, a few bits a shingle, bound their symmetric difference from below and rule most pairs out.
 """
 
 from __future__ import annotations
@@ -28,14 +29,12 @@ from brindle.llm.shingles import shingle_sets
 
 #: Upper over lower size of a band.
 RATIO = 1.3
-#: Allowances beyond H + 1: so much of a match may fall on empty parts before these must be indexed as well.
-SPARE = 1
 #: The cost of a candidate in index rows, and the chance that one of a document's shingles is in an unrelated one.
-CANDIDATE_COST, OVERLAP = 40, 0.03
+CANDIDATE_COST, OVERLAP = 40, 0.05
 #: (hash, document) rows that a task gathers before it reduces them to stars.
 GATHERED = 1_500_000
 #: Shingles and documents of a verification block.
-BLOCK_SHINGLES, BLOCK_ROWS = 100_000, 256
+BLOCK_SHINGLES, BLOCK_ROWS = 250_000, 512
 #: Up to so many rows of (text hash, id) are broadcast to fetch texts; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 400_000
 
@@ -56,12 +55,22 @@ class Threshold:
         return -(-size * self.num // self.den)
 
 
+    def apart(self, a, b):
+        """The largest symmetric difference of two similar sets of these sizes."""
+        return (self.den - self.num) * (a + b) // (self.den + self.num)
+
+
 @dataclass(frozen=True)
 class Band:
+    """Segments of allowance 2 (deleting) come before those of allowance 1 (exact). skip: how many of a document's
+    smallest exact parts are not indexed; spare: the allowance that may fall on deleting parts of at most one shingle."""
+
     low: int
     high: int  # exclusive
     exact: int
     deleting: int
+    skip: int
+    spare: int
 
     @property
     def segments(self) -> int:
@@ -77,39 +86,69 @@ def bounds(most: int, t: Threshold) -> list[int]:
     return out
 
 
+def _poisson(mean: float) -> np.ndarray:
+    k = np.arange(int(mean + 10 * math.sqrt(mean + 1)) + 2)
+    return np.exp(k * math.log(mean) - mean - np.array([math.lgamma(x + 1) for x in k]))
+
+
 def allocate(low: int, high: int, documents: int, t: Threshold) -> Band:
-    """The cheapest split of the H + 1 + SPARE allowances into exact and deleting segments for a band's documents."""
-    total, size = t.most_apart(high - 1) + 1 + SPARE, (low + high) / 2
+    """The cheapest allocation for a band: how many segments get allowance 2, and how many of a document's smallest parts,
+    which tell least, it leaves out. Costs are index rows and the candidates expected among the band's documents."""
+    h, size = t.most_apart(high - 1), (low + high) / 2
     best = None
-    for d in range(min(total // 2, 64) + 1):
-        e = total - 2 * d
-        k = size / (d + e)
-        rows = e + d * (1 + k)
-        chance = e * OVERLAP**k + d * (2 * k + 1) * OVERLAP ** max(k - 1, 0)
-        cost = rows + CANDIDATE_COST * min(1.0, chance) * documents
-        if best is None or cost < best[0]:
-            best = (cost, Band(low, high, e, d))
+    for d in sorted({0, *(round(h * f) for f in (0.1, 0.25, 0.5)), *range(min(h, 4) + 1)}):
+        for skip in sorted({1, *(math.ceil(h * f) for f in (0.05, 0.1, 0.15, 0.2, 0.3, 0.45))}):
+            spare = 2 if d else 0
+            e = h + 1 + skip + spare - 2 * d
+            if e < skip:
+                continue
+            p = _poisson(size / (d + e))
+            k = np.arange(len(p))
+            kept = np.minimum(p, np.maximum(0, np.cumsum(p) - (skip / e if e else 0)))  # the smallest parts go first
+            chance = (e * kept * OVERLAP**k).sum() + d * (p * (2 * k + 1) * OVERLAP ** np.maximum(k - 1, 0)).sum()
+            rows = e - skip + d * (1 + size / (d + e))
+            cost = rows + CANDIDATE_COST * chance * documents
+            if best is None or cost < best[0]:
+                best = (cost, Band(low, high, e, d, skip, spare))
     return best[1]
 
 
 def signatures(s: np.ndarray, number: int, band: Band) -> np.ndarray:
-    """Index hashes of one set in one band: of each segment's part, and with one shingle left out where that is allowed."""
-    m = band.segments
+    """Index hashes of one set in one band: of each segment's part, and with one shingle left out where that is allowed.
+
+    Two similar sets agree on segments with allowances of at least 1 + skip + spare. The exact ones among these have equal
+    parts, so both sets rank them alike by size; the first ``skip`` of a set's ranking can't hold them all.
+    """
+    m, d = band.segments, band.deleting
     mixed = mix64(s + np.uint64((number + 1) * 0x9E3779B97F4A7C15 % 2**64))
-    segment = (mixed >> np.uint64(33)) % np.uint64(m)
-    segment = segment.astype(np.int64)
+    segment = ((mixed >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
     part = np.zeros(m, np.uint64)
     np.add.at(part, segment, mixed)
     size = np.bincount(segment, minlength=m)
     label = mix64(np.arange(m, dtype=np.uint64) + (np.uint64(number + 1) << np.uint64(32)))
-    trivial = 2 * int((size[: band.deleting] <= 1).sum()) + int((size[band.deleting :] == 0).sum())
-    out = [part + label, part[segment[cut]] - mixed[cut] + label[segment[cut]]] if (cut := segment < band.deleting).any() else [part + label]
-    empty = [size == 0, size[segment[cut]] == 1] if len(out) == 2 else [size == 0]
-    if trivial <= SPARE:
-        out = [x[~e] for x, e in zip(out, empty, strict=True)]
+    exact = d + np.argsort(size[d:], kind="stable")[band.skip :]
+    out = [part[exact] + label[exact]]
+    if d:
+        cut = segment < d
+        whole, less = part[:d] + label[:d], part[segment[cut]] - mixed[cut] + label[segment[cut]]
+        if 2 * int((size[:d] <= 1).sum()) <= band.spare:  # what is nearly empty may be left out
+            whole, less = whole[size[:d] > 0], less[size[segment[cut]] > 1]
+        out += [whole, less]
     return mix64(np.concatenate(out))
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """Parities of the set's shingles in at least twice as many bits, a power of two."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    at = (mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def fold(b: bytes, size: int) -> np.ndarray:
+    """A bitmap with ``size`` bytes, as 64-bit words: the parities of the same set in fewer bits."""
+    return np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, size // 8), axis=0)
+
+
 def node_of(s: np.ndarray) -> tuple[int, int]:
     """Two independent 64-bit hashes of a set; the first names it."""
     if not len(s):
@@ -123,15 +162,15 @@ def _sets(texts: list[str | None], width: int, seed: int) -> list[np.ndarray]:
 
 
 def set_table(docs: DataFrame, width: int, seed: int = 0) -> DataFrame:
-    """doc_id, th (hash of the text), n, node, proof of every row. Rows with equal sets have equal nodes; n = 0 links with nothing."""
+    """doc_id, th (hash of the text), n, node, proof, bits (bitmap) of every row. Rows with equal sets have equal nodes; n = 0 links with nothing."""
 
     def run(ids, hashes, texts):
         sets = _sets(texts, width, seed)
         nodes = [node_of(s) for s in sets]
-        return {"doc_id": ids, "th": hashes, "n": [len(s) for s in sets], "node": [n for n, _ in nodes], "proof": [p for _, p in nodes]}
+        return {"doc_id": ids, "th": hashes, "n": [len(s) for s in sets], "node": [n for n, _ in nodes], "proof": [p for _, p in nodes], "bits": [bitmap(s) if len(s) else None for s in sets]}
 
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    return map_rows(rows, run, "doc_id bigint, th bigint, n bigint, node bigint, proof bigint", "doc_id", "th", "text")
+    return map_rows(rows, run, "doc_id bigint, th bigint, n bigint, node bigint, proof bigint, bits binary", "doc_id", "th", "text")
 
 
 _INDEX = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
@@ -254,20 +293,56 @@ def _fetch(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.dropDuplicates(["node"])
 
 
+def _possible(edges: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
+    """a, b, big, possible: whether sizes and bitmaps leave it open that an edge is a link."""
+
+    def run(a, b, big, n_a, n_b, bits_a, bits_b):
+        out = []
+        for x, y, p, q in zip(n_a, n_b, bits_a, bits_b, strict=True):
+            open_ = min(x, y) >= t.smallest(max(x, y))
+            if open_:
+                size = min(len(p), len(q))
+                open_ = int(np.bitwise_count(fold(p, size) ^ fold(q, size)).sum()) <= t.apart(x, y)
+            out.append(open_)
+        return {"a": a, "b": b, "big": big, "possible": out}
+
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    return map_rows(edges.join(side("a"), "a").join(side("b"), "b"), run, "a bigint, b bigint, big boolean, possible boolean", "a", "b", "big", "n_a", "n_b", "bits_a", "bits_b")
+
+
 def _verify(edges: DataFrame, texts: DataFrame, width: int, seed: int, t: Threshold) -> DataFrame:
-    """a, b, big, linked: every edge decided on the whole sets of its two texts."""
+    """a, b of the edges that are links, decided on the whole sets of their two texts."""
 
-    def run(a, b, big, text_a, text_b):
+    def run(a, b, text_a, text_b):
         named = dict(zip(a + b, text_a + text_b, strict=True))
         sets = dict(zip(named, _sets(list(named.values()), width, seed), strict=True))
-        linked = []
+        links = []
         for x, y in zip(a, b, strict=True):
             i = _overlap(sets[x], sets[y])
-            linked.append(t.den * i >= t.num * (len(sets[x]) + len(sets[y]) - i))
-        return {"a": a, "b": b, "big": big, "linked": linked}
+            if t.den * i >= t.num * (len(sets[x]) + len(sets[y]) - i):
+                links.append((x, y))
+        return {"a": [x for x, _ in links], "b": [y for _, y in links]}
 
     rows = edges.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return map_rows(rows, run, "a bigint, b bigint, big boolean, linked boolean", "a", "b", "big", "text_a", "text_b", rows=512, size=4 << 20)
+    return map_rows(rows, run, "a bigint, b bigint", "a", "b", "text_a", "text_b", rows=512, size=4 << 20)
+
+
+def _block_open(pdf, t: Threshold):
+    """The documents of a block or of two that sizes and bitmaps leave as possible links between components."""
+    if pdf.comp.nunique() > 1:
+        n, comp = pdf.n.to_numpy(), pdf.comp.to_numpy()
+        size = min(map(len, pdf.bits))
+        words = np.stack([fold(b, size) for b in pdf.bits])
+        found = np.zeros(len(pdf), bool)
+        for i in range(len(pdf) - 1):
+            rest = slice(i + 1, None)
+            near = (np.bitwise_count(words[rest] ^ words[i]).sum(axis=1) <= t.apart(n[rest], n[i])) & (comp[rest] != comp[i])
+            found[rest] |= near
+            found[i] |= near.any()
+        pdf = pdf[found]
+    else:
+        pdf = pdf[:0]
+    return pdf[["cluster", "c", "kind", "x", "y", "node", "comp"]]
 
 
 def _block_links(pdf, width: int, seed: int, t: Threshold):
@@ -308,17 +383,18 @@ def _block_links(pdf, width: int, seed: int, t: Threshold):
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def _decide_rest(clusters: DataFrame, comps: DataFrame, classes: DataFrame, texts: DataFrame, width: int, seed: int, t: Threshold) -> DataFrame | None:
+def _decide_rest(docs: DataFrame, clusters: DataFrame, comps: DataFrame, classes: DataFrame, width: int, seed: int, t: Threshold) -> DataFrame | None:
     """Links between components within a cluster of buckets, found block by block; None if there is nothing to decide.
 
     A cluster's documents are dealt by size class and hash into blocks of bounded size, and every two blocks of the same or
-    of neighbouring classes meet in one group. Size classes are as wide as similar sets may differ.
+    of neighbouring classes meet in one group, first with their bitmaps; texts are fetched for the documents that these
+    leave open. Size classes are as wide as similar sets may differ.
     """
     members = clusters.withColumnRenamed("comp", "cluster").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     members = materialise(members, "members")
     open_ = members.groupBy("cluster").agg(F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("k > 2 AND lo <> hi").select("cluster")
     base = math.log(t.den / t.num * 1.0001)
-    rows = members.join(open_, "cluster", "left_semi").join(classes.select("node", "n"), "node").withColumn("c", F.floor(F.log("n") / base))
+    rows = members.join(open_, "cluster", "left_semi").join(classes.select("node", "n", "bits"), "node").withColumn("c", F.floor(F.log("n") / base))
     rows = materialise(rows, "open")
     release(members)
     if rows.isEmpty():
@@ -340,10 +416,15 @@ def _decide_rest(clusters: DataFrame, comps: DataFrame, classes: DataFrame, text
         pairs("above", lambda o: meet(F.col("c"), 1, h, o)),
         pairs("below", lambda o: meet(F.col("c") - 1, 1, o, h)),
     )
-    dealt = rows.select("cluster", "node", "comp", F.explode(groups).alias("at")).select("cluster", "at.*", "node", "comp")
-    alone = dealt.groupBy("cluster", "c", "kind", "x", "y").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").drop("lo", "hi")
-    dealt = dealt.join(alone, ["cluster", "c", "kind", "x", "y"], "left_semi").join(texts, "node")
-    return dealt.groupBy("cluster", "c", "kind", "x", "y").applyInPandas(lambda pdf: _block_links(pdf, width, seed, t), "a bigint, b bigint")
+    meeting = ["cluster", "c", "kind", "x", "y"]
+    dealt = rows.select("cluster", "node", "comp", "n", "bits", F.explode(groups).alias("at")).select("cluster", "at.*", "node", "comp", "n", "bits")
+    left = dealt.groupBy(*meeting).applyInPandas(lambda pdf: _block_open(pdf, t), "cluster bigint, c bigint, kind int, x bigint, y bigint, node bigint, comp bigint")
+    left = materialise(left, "left")
+    release(rows)
+    if left.isEmpty():
+        return None
+    texts = _fetch(docs, classes, left.select("node").distinct())
+    return left.join(texts, "node").groupBy(*meeting).applyInPandas(lambda pdf: _block_links(pdf, width, seed, t), "a bigint, b bigint")
 
 
 def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -358,7 +439,7 @@ def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Da
     while True:  # two different sets with one 64-bit name would be merged: then hash anew
         rows = materialise(set_table(docs, width, seed), "sets")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first")
-        classes = materialise(rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), first, F.min("proof").alias("lo"), F.max("proof").alias("hi")), "classes")
+        classes = materialise(rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), first, F.min("proof").alias("lo"), F.max("proof").alias("hi")), "classes")
         if classes.filter("lo <> hi").isEmpty():
             break
         seed += 1
@@ -389,13 +470,16 @@ def _components(docs: DataFrame, classes: DataFrame, width: int, seed: int, t: T
     edges = materialise(stars.groupBy("a", "b").agg(F.max("big").alias("big")), "stars")
     if edges.isEmpty():
         return None
-    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    texts = materialise(_fetch(docs, classes, ends), "texts")
-    decided = materialise(_verify(edges, texts, width, seed, t), "decided")
-    links = decided.filter("linked").select("a", "b")
+    decided = materialise(_possible(edges, classes, t), "possible")
+    release(edges)
+    maybe = decided.filter("possible").select("a", "b")
+    ends = maybe.select(F.col("a").alias("node")).unionByName(maybe.select(F.col("b").alias("node"))).distinct()
+    links = materialise(_verify(maybe, materialise(_fetch(docs, classes, ends), "texts"), width, seed, t), "links")
+    if links.isEmpty() and decided.filter("big").isEmpty():
+        return None
     comps = connected(links)
-    clusters = connected(decided.filter("big OR linked").select("a", "b"))
-    more = _decide_rest(clusters, comps, classes, texts, width, seed, t)
+    clusters = connected(decided.filter("big").select("a", "b").unionByName(links))
+    more = _decide_rest(docs, clusters, comps, classes, width, seed, t)
     if more is None:
         return comps
     return connected(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))

@@ -88,11 +88,14 @@ def test_pigeonhole_never_misses():
                 continue
             small = min(len(base), len(other))
             number = int(np.searchsorted(lows, small, side="right")) - 1
-            for d in (0, 1, 3):
-                total = t.most_apart(lows[number + 1] - 1) + 1 + j.SPARE
-                d = min(d, total // 2)
-                band = j.Band(lows[number], lows[number + 1], total - 2 * d, d)
+            h = t.most_apart(lows[number + 1] - 1)
+            bands = [j.allocate(lows[number], lows[number + 1], k, t) for k in (1, 10**4, 10**9)]
+            bands += [j.Band(lows[number], lows[number + 1], h + 1 + skip + 2 - 2 * d, d, skip, 2) for d in (0, 1, 3) for skip in (0, 2, h) if h + 3 - 2 * d >= 0]
+            for band in bands:
                 assert set(j.signatures(base, number, band).tolist()) & set(j.signatures(other, number, band).tolist())
+            size = min(len(j.bitmap(base)), len(j.bitmap(other)))
+            apart = int(np.bitwise_count(j.fold(j.bitmap(base), size) ^ j.fold(j.bitmap(other), size)).sum())
+            assert apart <= u - i <= t.apart(len(base), len(other))
 
 
 def test_shingle_sets_batching():
