@@ -22,7 +22,7 @@ INF = np.int64(1) << 40
 #: Pre-tokens above this many bytes are merged by a heap, in the same order: a matrix needs a round for each merge.
 MATRIX_BYTES = 192
 #: Distinct pre-tokens a worker remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 class PairTable:

@@ -61,7 +61,7 @@ def tokenizer_path(name: str) -> str:
     return os.path.abspath(public_tokenizers.path(name))
 
 
-def batches(fn: Callable[..., dict[str, list]], schema: str, spark_schema, *names: str, rows: int = 1024, size: int = 8 << 20):
+def batches(fn: Callable[..., dict[str, list]], schema: str, spark_schema, *names: str, rows: int = 512, size: int = 2 << 20):
     """A mapInArrow function that calls ``fn`` with one list per named column.
 
     Batches are cut so that ``fn`` sees at most ``rows`` rows and about ``size`` characters of the first string
@@ -100,7 +100,7 @@ def slices(batch: pa.RecordBatch, names, rows: int, size: int) -> Iterator[tuple
         yield start, n
 
 
-def map_rows(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str, *names: str, rows: int = 1024, size: int = 8 << 20) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str, *names: str, rows: int = 512, size: int = 2 << 20) -> DataFrame:
     """Apply ``fn`` (lists in, dict of lists out) to the named columns of ``df`` in Arrow batches."""
     from pyspark.sql.types import StructType
 
@@ -123,7 +123,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def map_append(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str, *names: str, rows: int = 1024, size: int = 8 << 20) -> DataFrame:
+def map_append(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str, *names: str, rows: int = 512, size: int = 2 << 20) -> DataFrame:
     """``df`` with further columns that ``fn`` makes from the named ones; rows pass through as they are.
 
     New columns must not be named like those of ``df``.

@@ -32,7 +32,7 @@ RATIO = 1.3
 #: The cost of a candidate in index rows, and the chance that one of a document's shingles is in an unrelated one.
 CANDIDATE_COST, OVERLAP = 40, 0.05
 #: (hash, document) rows that a task gathers before it reduces them to stars.
-GATHERED = 1_500_000
+GATHERED = 400_000
 #: Shingles and documents of a verification block.
 BLOCK_SHINGLES, BLOCK_ROWS = 250_000, 512
 #: Up to so many rows of (text hash, id) are broadcast to fetch texts; beyond, they are joined by shuffle.
@@ -170,7 +170,7 @@ def set_table(docs: DataFrame, width: int, seed: int = 0) -> DataFrame:
         return {"doc_id": ids, "th": hashes, "n": [len(s) for s in sets], "node": [n for n, _ in nodes], "proof": [p for _, p in nodes], "bits": [bitmap(s) if len(s) else None for s in sets]}
 
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    return map_rows(rows, run, "doc_id bigint, th bigint, n bigint, node bigint, proof bigint, bits binary", "doc_id", "th", "text")
+    return map_rows(rows, run, "doc_id bigint, th bigint, n bigint, node bigint, proof bigint, bits binary", "doc_id", "th", "text", rows=256, size=1 << 20)
 
 
 _INDEX = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
@@ -206,7 +206,7 @@ def _index(width: int, seed: int, t: Threshold, plan: list[Band]):
     def run(it):
         keys, nodes, n, seen = [], [], 0, set()
         for batch in it:
-            for start, stop in slices(batch, ("text",), 512, 4 << 20):
+            for start, stop in slices(batch, ("text",), 256, 1 << 20):
                 for s in _sets(batch.column(0).slice(start, stop - start).to_pylist(), width, seed):
                     node = node_of(s)[0]
                     if not lows or len(s) < lows[0] or node in seen:
@@ -324,7 +324,7 @@ def _verify(edges: DataFrame, texts: DataFrame, width: int, seed: int, t: Thresh
         return {"a": [x for x, _ in links], "b": [y for _, y in links]}
 
     rows = edges.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return map_rows(rows, run, "a bigint, b bigint", "a", "b", "text_a", "text_b", rows=512, size=4 << 20)
+    return map_rows(rows, run, "a bigint, b bigint", "a", "b", "text_a", "text_b", rows=256, size=2 << 20)
 
 
 def _block_open(pdf, t: Threshold):

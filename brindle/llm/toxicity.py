@@ -134,7 +134,7 @@ def _counts(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
             c.update(found if only is None else found & only)
         return {"entry": list(c), "n": list(c.values())}
 
-    return map_rows(rows, run, "entry string, n bigint", "text").groupBy("entry").agg(F.sum("n").alias("n"))
+    return map_rows(rows, run, "entry string, n bigint", "text", rows=256).groupBy("entry").agg(F.sum("n").alias("n"))
 
 
 def _g(t: float, c: float, n1: float, n0: float) -> float:
