@@ -1,4 +1,9 @@
 """Queries of the engine's own operators, with equivalent DuckDB SQL."""
 
+from brindle.plans import history_queries, search_queries
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (history_queries, search_queries):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
