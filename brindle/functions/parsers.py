@@ -3,15 +3,33 @@ built-in functions and reports its tier: full, degraded (some of it read) or pas
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import hunk_header, lines_of
 
-# What counts as generated or vendored.
-DENIED_NAMES = ("Cargo.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "Gemfile.lock", "go.sum", "composer.lock")
-DENIED_DIRS = ("node_modules", "vendor", "dist", "build", "target", "__pycache__", ".git", "third_party")
-DENIED_SUFFIXES = r"(\.min\.js|\.min\.css|\.snap|\.map)$"
+# Files, folders and file name endings that count as generated or vendored.
+DENIED_NAMES = ("Cargo.lock", "package-lock.json", "yarn.lock", "go.sum", "poetry.lock", "pnpm-lock.yaml", "Pipfile.lock", "Gemfile.lock", "composer.lock", "flake.lock")
+DENIED_DIRS = ("vendor", "node_modules", "dist", "build", "target", ".git", "__pycache__", ".tox")
+DENIED_SUFFIXES = r"(min\.js|min\.css|pb\.go|generated\.go)$"
+# Path globs that history metrics leave out.
+EXCLUDES = (
+    "Cargo.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "Pipfile.lock", "composer.lock", "Gemfile.lock", "go.sum", "*.lock", "dist/**", "build/**", "target/**", "out/**",
+    ".next/**", ".nuxt/**", "__pycache__/**", "*.egg-info/**", "*.min.js", "*.min.css", "*.bundle.js", "*.chunk.js", "*.log", "logs/**", "vendor/**", "node_modules/**", ".idea/**", ".vscode/**",
+    ".DS_Store", "coverage/**", ".nyc_output/**", "migrations/**/*.sql",
+)
+
+
+def glob_regex(pattern: str) -> str:
+    """A whole-path regular expression: ``*`` crosses folders, ``**/`` is any number of them, ``?`` one character."""
+    parts = re.split(r"(\*\*/|\*+|\?)", pattern)
+    return "^" + "".join({"**/": "(?:.*/)?", "?": "."}.get(p, ".*" if p.startswith("*") else re.escape(p)) for p in parts if p) + "$"
+
+
+def is_excluded(path: Column, extra: tuple[str, ...] = ()) -> Column:
+    return path.rlike("|".join(map(glob_regex, (*EXCLUDES, *extra))))
 
 
 def to_lines(outputs: DataFrame, col: str = "text") -> DataFrame:

@@ -10,16 +10,32 @@ from pyspark.sql import functions as F
 
 # File extensions and interpreters by language.
 EXTENSIONS = {
-    "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "pyi": "python",
-    "rs": "rust", "go": "go", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "cs": "csharp", "rb": "ruby",
-    "sql": "sql", "kt": "kotlin", "kts": "kotlin", "swift": "swift", "sh": "bash", "bash": "bash", "md": "markdown", "markdown": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml",
+    "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript", "cjs": "javascript", "mjs": "javascript",
+    "py": "python", "pyi": "python", "rs": "rust", "go": "go", "java": "java", "md": "markdown", "markdown": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml",
+    "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp", "hh": "cpp", "toml": "toml", "cs": "csharp", "rb": "ruby", "sql": "sql",
+    "kt": "kotlin", "kts": "kotlin", "swift": "swift", "sh": "bash", "bash": "bash",
+}
+INTERPRETERS = {
+    "sh": "bash", "bash": "bash", "dash": "bash", "zsh": "bash", "ksh": "bash", "mksh": "bash", "fish": "bash", "python": "python", "node": "javascript", "nodejs": "javascript", "ruby": "ruby",
+}
+# Names, name endings and value beginnings that mark a secret.
+SENSITIVE_NAMES = (
+    "ANTHROPIC_API_KEY", "OPENAI_API_KEY", "AWS_ACCESS_KEY_ID", "AWS_SECRET_ACCESS_KEY", "GITHUB_TOKEN", "GH_TOKEN", "DATABASE_URL", "NPM_TOKEN", "STRIPE_SECRET_KEY", "SENTRY_DSN", "SENDGRID_API_KEY",
+)
+SENSITIVE_SUFFIXES = (
+    "_TOKEN", "_SECRET", "_PASSWORD", "_API_KEY", "_SECRET_KEY", "_PRIVATE_KEY", "_ENCRYPTION_KEY", "_SIGNING_KEY", "_ACCESS_KEY", "_HMAC_KEY", "_CREDENTIAL", "_AUTH",
+)
+CREDENTIAL_PREFIXES = ("sk-ant-", "sk-", "ghp_", "gho_", "ghs_", "ghr_", "github_pat_", "AKIA")
+# Level spellings, phrases of refused calls and of failed ones (on lower-cased output).
+LEVELS = "ERROR|WARN|WARNING|INFO|DEBUG|TRACE|FATAL|CRITICAL|error|warn|warning|info|debug|trace|fatal|critical|ERR|WRN|INF|DBG|TRC"
+DENIALS = "has been denied|user denied|aborted by user|user rejected|permission was denied by user"
+ERRORS = r"(^|\n|: )error[:\[]|not found|no such file|permission denied|^fatal:"
+# Encodings of models known by their whole name.
+ENCODINGS = {
+    "cl100k": (
+        "gpt-3.5-turbo", "gpt-3.5-turbo-0613", "gpt-3.5-turbo-16k", "gpt-3.5-turbo-16k-0613", "gpt-4", "gpt-4-0314", "gpt-4-32k", "gpt-4-32k-0314", "gpt-4-turbo", "gpt-4-turbo-2024-04-09", "gpt-4-turbo-preview",
+    ),
 }
-INTERPRETERS = {"python": "python", "node": "javascript", "ruby": "ruby", "bash": "bash", "sh": "bash", "deno": "typescript"}
-SENSITIVE_SUFFIXES = ("_TOKEN", "_SECRET", "_PASSWORD", "_KEY", "_CREDENTIALS")
-SENSITIVE_NAMES = ("PASSWORD", "SECRET", "TOKEN", "API_KEY", "AUTHORIZATION")
-CREDENTIAL_PREFIXES = ("sk-ant-", "sk-", "ghp_", "gho_", "github_pat_", "xoxb-", "AKIA", "eyJ")
-LEVELS = "TRACE|DEBUG|INFO|NOTICE|WARN|WARNING|ERROR|FATAL|CRITICAL|trace|debug|info|notice|warn|warning|error|fatal|critical"
-DENIALS = r"(?i)permission denied|operation not permitted|user rejected|requires approval|not allowed by policy"
 MAX_FILE_BYTES = 5 << 20
 
 
@@ -29,7 +45,7 @@ def _map(table: dict[str, str], key: Column) -> Column:
 
 def language_of_path(path: Column) -> Column:
     """By extension; null for unknown ones and for paths with a ``..`` component."""
-    ext = F.lower(F.regexp_extract(path, r"[^/]\.([A-Za-z0-9]+)$", 1))
+    ext = F.regexp_extract(path, r"[^/]\.([A-Za-z0-9]+)$", 1)
     return F.when(~path.rlike(r"(^|/)\.\.(/|$)"), _map(EXTENSIONS, ext))
 
 
@@ -71,8 +87,9 @@ def fence_hint(text: Column) -> Column:
 
 
 def is_log_line(line: Column) -> Column:
-    """A timestamp, a level or a short bracketed prefix at its start."""
-    stamp = r"^(\d{4}-\d{2}|\d{10}|\[\d{4}-[^\]]{2,}\])"
+    """A timestamp, a level or a short bracketed prefix after leading blanks."""
+    line = F.regexp_replace(line, r"^\s+|\s+$", "")
+    stamp = r"^(\d{4}-\d{2}|\d{10}|\[\d{4}-[^\]]{2})"
     return line.rlike(stamp) | line.rlike(rf"^(?:({LEVELS})(?:$|[: \t])|\[({LEVELS})\])") | line.rlike(r"^\[[^\]]{0,31}\][ :]")
 
 
@@ -143,13 +160,13 @@ def skip_reason(content: Column, lang: Column) -> Column:
 
 
 def looks_like_error(output: Column) -> Column:
-    head = F.lower(F.substring(output, 1, 1024))
-    failed = head.contains("failed") & ~head.contains("0 failed")
-    return head.rlike(r"error:|error\[|fatal:|panic|traceback|command not found|no such file|cannot |unable to ") | failed
+    head = F.substring(output, 1, 1024)
+    low = F.lower(head)
+    return low.rlike(ERRORS) | (low.contains("failed") & ~low.contains("0 failed")) | head.contains("Exit code")
 
 
 def is_denial(output: Column) -> Column:
-    return F.substring(output, 1, 512).rlike(DENIALS)
+    return F.lower(F.substring(output, 1, 512)).rlike(DENIALS)
 
 
 def command_prefix(command: Column, n: int = 3) -> Column:
@@ -217,7 +234,7 @@ def offline_tokens(n: Column) -> Column:
 
 
 def encoding_for_model(model: Column) -> Column:
-    exact = _map({"gpt-4": "cl100k", "gpt-3.5-turbo": "cl100k", "gpt-4o": "o200k", "gpt-4o-mini": "o200k"}, model)
+    exact = F.when(model.isin(*ENCODINGS["cl100k"]), "cl100k")
     known = F.when(model.rlike("^(gpt-|o1|o3|o4|chatgpt-)"), "o200k").when(model.startswith("claude-"), "offline")
     return F.coalesce(exact, known, F.lit("heuristic"))
 

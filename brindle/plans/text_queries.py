@@ -9,9 +9,9 @@ from brindle.functions import text as tx
 from brindle.plans.views import table
 
 SAMPLES = [
-    "src/main.rs", "a/../b.py", "lib/x.PY", "Makefile", "web/app.min.tsx", "#!/usr/bin/env -S python3.11", "#!/bin/sh", "#! /usr/local/bin/node", "API_KEY=abc", "export DB_TOKEN=1",
+    "src/main.rs", "a/../b.py", "lib/x.PY", "Makefile", "web/app.min.tsx", "#!/usr/bin/env -S python3.11", "#!/bin/sh", "#! /usr/local/bin/node", "MY_API_KEY=abc", "export DB_TOKEN=1",
     "PATH=/bin", "X=sk-ant-12345678", "url=https://u:p@host/x", "```py\nx\n```", "```", "2024-01-02 x", "[ERROR] boom", "WARN: disk\nINFO ok", "[abc] hi", "plain text",
-    "cargo build --release now", "git  commit -m x", "error: no such file", "12 passed, 0 failed", "3 failed", "Permission denied (publickey)", "7d", "12h", "3x", "2w",
+    "cargo build --release now", "git  commit -m x", "error: no such file", "12 passed, 0 failed", "3 failed", "The call has been Denied", "x: error[1]", "[2024-06", "7d", "12h", "3x", "2w",
     "@@ -1,5 +2 @@ fn", "@@ -3 +4,9 @@", "d/{a => b}/f", "plain/path", "gpt-4", "gpt-4o-mini", "claude-x", "o3-mini", "llama", "a b/c d", "a x/y d",
 ]
 
@@ -77,10 +77,10 @@ _S = "WITH s AS (SELECT unnest(range(0, %d))::INT AS id, unnest([%s]) AS text)"
 _P = "WITH p(a, b) AS (VALUES " + ", ".join(f"({_q(a)}, {_q(b)})" for a, b in _PAIRS) + ")"
 _EXT = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in tx.EXTENSIONS.items()) + "}"
 _INT = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in tx.INTERPRETERS.items()) + "}"
-_KEY = "(upper({0}) IN ('PASSWORD', 'SECRET', 'TOKEN', 'API_KEY', 'AUTHORIZATION') OR regexp_matches(upper({0}), '(_TOKEN|_SECRET|_PASSWORD|_KEY|_CREDENTIALS)$'))"
-_VAL = "(octet_length(encode({0})) >= 8 AND regexp_matches({0}, '^(sk-ant-|sk-|ghp_|gho_|github_pat_|xoxb-|AKIA|eyJ)'))"
+_KEY = f"(upper({{0}}) IN {tx.SENSITIVE_NAMES} OR regexp_matches(upper({{0}}), '({'|'.join(tx.SENSITIVE_SUFFIXES)})$'))"
+_VAL = f"(octet_length(encode({{0}})) >= 8 AND regexp_matches({{0}}, '^({'|'.join(tx.CREDENTIAL_PREFIXES)})'))"
 _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
-_LINE = rf"(regexp_matches(x, '^(\d{{4}}-\d{{2}}|\d{{10}}|\[\d{{4}}-[^\]]{{2,}}\])') OR regexp_matches(x, '^(?:({tx.LEVELS})(?:$|[: \t])|\[({tx.LEVELS})\])') OR regexp_matches(x, '^\[[^\]]{{0,31}}\][ :]'))"
+_LINE = rf"(regexp_matches(trim(x, chr(32) || chr(9) || chr(13)), '^(\d{{4}}-\d{{2}}|\d{{10}}|\[\d{{4}}-[^\]]{{2}})') OR regexp_matches(trim(x, chr(32) || chr(9) || chr(13)), '^(?:({tx.LEVELS})(?:$|[: \t])|\[({tx.LEVELS})\])') OR regexp_matches(trim(x, chr(32) || chr(9) || chr(13)), '^\[[^\]]{{0,31}}\][ :]'))"
 
 
 def _log(col: str) -> str:
@@ -95,7 +95,7 @@ _LOGS = r"""WITH raw AS (SELECT doc_id, unnest(range(0, len(l)))::INT AS pos, un
 _DEDUP = " SELECT doc_id, min(pos) AS pos, level, min_by(message, pos) AS message, count(*) AS count, min_by(ts, pos) FILTER (ts IS NOT NULL) AS min_timestamp, max_by(ts, pos) FILTER (ts IS NOT NULL) AS max_timestamp FROM e"
 
 ORACLES = {
-    "text_language_path": _S + rf" SELECT id, CASE WHEN NOT regexp_matches(text, '(^|/)\.\.(/|$)') THEN {_EXT}[lower(regexp_extract(text, '[^/]\.([A-Za-z0-9]+)$', 1))] END AS out FROM s",
+    "text_language_path": _S + rf" SELECT id, CASE WHEN NOT regexp_matches(text, '(^|/)\.\.(/|$)') THEN {_EXT}[regexp_extract(text, '[^/]\.([A-Za-z0-9]+)$', 1)] END AS out FROM s",
     "text_language_shebang": _S + rf" SELECT id, {_INT}[regexp_replace(regexp_extract(text, '^#!\s*(?:\S*/)?(?:env\s+(?:-\S+\s+)*)?(?:\S*/)?(\S+)', 1), '[0-9.]+$', '')] AS out FROM s",
     "text_sensitive": _S + f" SELECT id, {_KEY.format('text')} AS k, {_VAL.format('text')} AS v FROM s",
     "text_redact_env": _S + rf", k AS (SELECT id, text, regexp_extract(text, '^(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)=', 1) AS k, regexp_extract(text, '^[^=]*=(.*)$', 1) AS v FROM s) SELECT id, CASE WHEN k <> '' AND ({_KEY.format('k')} OR {_VAL.format('v')}) THEN regexp_extract(text, '^([^=]*=)', 1) || '***' ELSE regexp_replace(text, '(://)[^:@/\s]+:[^@/\s]+(@)', '\1***\2', 'g') END AS out FROM k",
@@ -105,12 +105,12 @@ ORACLES = {
     "text_classify_events": "SELECT CASE WHEN json_valid(props) THEN 'json' ELSE 'text' END AS content_class, count(*) AS n FROM events GROUP BY 1",
     "text_route": "SELECT event_id, CASE WHEN json_valid(props) THEN 'json' ELSE 'passthrough' END AS engine, json_valid(props) AND length(props) BETWEEN 64 AND 65536 AS looked_at FROM events",
     "text_minified": "SELECT page_id, CASE WHEN n0 = 0 THEN b > 500 ELSE b // n0 > 500 END AS minified FROM (SELECT page_id, least(octet_length(encode(html)), 8192) AS b, len(list_filter(range(0, least(octet_length(encode(html)), 8192)), lambda i: substr(hex(encode(html)), 2 * i + 1, 2) = '0A')) AS n0 FROM pages)",
-    "text_error_rule": _S + r" SELECT id, regexp_matches(lower(text), 'error:|error\[|fatal:|panic|traceback|command not found|no such file|cannot |unable to ') OR (contains(lower(text), 'failed') AND NOT contains(lower(text), '0 failed')) AS error, regexp_matches(text, '(?i)permission denied|operation not permitted|user rejected|requires approval|not allowed by policy') AS denied FROM s",
+    "text_error_rule": _S + r" SELECT id, regexp_matches(lower(text), '(^|\n|: )error[:\[]|not found|no such file|permission denied|^fatal:') OR (contains(lower(text), 'failed') AND NOT contains(lower(text), '0 failed')) OR contains(text, 'Exit code') AS error, regexp_matches(lower(text), 'has been denied|user denied|aborted by user|user rejected|permission was denied by user') AS denied FROM s",
     "text_command_prefix": _S + rf" SELECT id, array_to_string(regexp_split_to_array({_TRIM.format('text')}, '\s+')[1:3], ' ') AS out FROM s",
     "text_duration": _S + r" SELECT id, CASE WHEN regexp_matches(text, '^\d{1,9}[hdw]$') THEN regexp_extract(text, '^(\d+)', 1)::BIGINT * CASE right(text, 1) WHEN 'h' THEN 3600 WHEN 'd' THEN 86400 ELSE 604800 END END AS out FROM s",
     "text_hunk_header": _S + r", h AS (SELECT id, text, regexp_extract(text, '^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@', ['a', 'b', 'c', 'd']) AS m FROM s) SELECT id, try_cast(m.a AS BIGINT) AS old_start, CASE WHEN m.a <> '' THEN coalesce(try_cast(m.b AS BIGINT), 1) END AS old_count, try_cast(m.c AS BIGINT) AS new_start, CASE WHEN m.a <> '' THEN coalesce(try_cast(m.d AS BIGINT), 1) END AS new_count FROM h",
     "text_rename": _S + r" SELECT id, regexp_replace(text, '^([^{]*)\{.* => (.*)\}(.*)$', '\1\2\3') AS out FROM s",
-    "text_encoding": _S + " SELECT id, CASE WHEN text IN ('gpt-4', 'gpt-3.5-turbo') THEN 'cl100k' WHEN text IN ('gpt-4o', 'gpt-4o-mini') OR regexp_matches(text, '^(gpt-|o1|o3|o4|chatgpt-)') THEN 'o200k' WHEN starts_with(text, 'claude-') THEN 'offline' ELSE 'heuristic' END AS out FROM s",
+    "text_encoding": _S + " SELECT id, CASE WHEN text IN ('gpt-4', 'gpt-3.5-turbo') THEN 'cl100k' WHEN regexp_matches(text, '^(gpt-|o1|o3|o4|chatgpt-)') THEN 'o200k' WHEN starts_with(text, 'claude-') THEN 'offline' ELSE 'heuristic' END AS out FROM s",
     "text_edit_distance": _P + " SELECT a, b, CASE WHEN abs(length(a) - length(b)) > 10 THEN abs(length(a) - length(b)) ELSE levenshtein(a, b) END AS distance, len(string_split(a, ' ')) = len(string_split(b, ' ')) AND a <> b AND len(list_filter(range(1, len(string_split(a, ' ')) + 1), lambda i: string_split(a, ' ')[i] <> string_split(b, ' ')[i] AND NOT (contains(string_split(a, ' ')[i], '/') AND contains(string_split(b, ' ')[i], '/')))) = 0 AS path_only FROM p",
     "text_truncate_head": f"SELECT doc_id, md5(CASE WHEN len(l) <= 3 THEN text ELSE array_to_string(list_append(l[1:2], '... (' || (len(l) - 2) || ' lines truncated)'), chr(10)) END) AS out FROM (SELECT doc_id, text, {_LINES} AS l FROM documents)",
     "text_truncate_tail": f"SELECT doc_id, md5(CASE WHEN len(l) <= 3 THEN text ELSE array_to_string(list_prepend('... (' || (len(l) - 2) || ' lines truncated)', l[-2:]), chr(10)) END) AS out FROM (SELECT doc_id, text, {_LINES} AS l FROM documents)",

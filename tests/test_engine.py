@@ -49,7 +49,7 @@ def test_bigrams_of_short_and_wide_texts(spark):
 
 
 def test_sessions(spark):
-    calls = [("s", 1, "Bash", "git comit -m x", True, ""), ("s", 2, "Bash", "ls", False, ""), ("s", 3, "Bash", "git commit -m x", False, ""), ("s", 4, "Bash", "cargo tset", None, "error: no such command"), ("s", 5, "Bash", "cargo test", False, "ok"), ("s", 6, "Bash", "rm x", True, "Permission denied"), ("s", 7, "Bash", "rm y", False, "")]
+    calls = [("s", 1, "Bash", "git comit -m x", True, ""), ("s", 2, "Bash", "ls", False, ""), ("s", 3, "Bash", "git commit -m x", False, ""), ("s", 4, "Bash", "cargo tset", None, "error: no such command"), ("s", 5, "Bash", "cargo test", False, "ok"), ("s", 6, "Bash", "rm x", True, "Permission to use it has been denied"), ("s", 7, "Bash", "rm y", False, "")]
     df = spark.createDataFrame(calls, "session_id string, seq int, tool string, command string, is_error boolean, result string")
     got = {(r.command, r.fixed, r.kind) for r in ss.corrections(df).collect()}
     assert got == {("git comit -m x", "git commit -m x", "typo"), ("cargo tset", "cargo test", "typo")}
