@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -113,6 +114,82 @@ def ngrams(nodes: DataFrame) -> DataFrame:
     return stream.mapInPandas(fold, "doc_id bigint, gp string, p string, c string").groupBy("doc_id", "gp", "p", "c").agg(F.count("*").alias("count"))
 
 
+# Node kinds that markers and metrics look at.
+BODIES = frozenset(("statement_block", "block", "compound_statement", "constructor_body", "body_statement", "function_body"))
+PARAMETERS = frozenset(("formal_parameters", "parameters", "formal_parameter_list", "parameter_list", "method_parameters"))
+CALLABLES = frozenset((
+    "function_item", "function_definition", "method_definition", "arrow_function", "function_expression", "template_declaration", "constructor_declaration", "method", "singleton_method", "init_declaration",
+    "deinit_declaration", "secondary_constructor", "anonymous_initializer",
+))
+BRANCHES = frozenset((
+    "if_statement", "if_expression", "conditional_expression", "ternary_expression", "while_statement", "while_expression", "for_statement", "for_in_statement", "for_expression", "loop_expression", "do_statement",
+    "match_expression", "switch_statement", "switch_expression", "case_statement", "try_statement", "catch_clause", "except_clause", "rescue_clause",
+))
+MARKER_COLUMNS = ("doc_id", "p", "c", "max_depth", "max_block_stmts", "max_params", "branch_count")
+# Bucket edges of the synthetic markers.
+EDGES = {"__large_body__": ((10, "b10"), (20, "b20"), (40, "b40")), "__many_params__": ((5, "b5"), (8, "b8"), (12, "b12")), "__deep_node__": ((4, "b4"), (6, "b6"), (8, "b8"))}
+
+
+def _crossed(marker: str, value: int) -> list[tuple[str, str]]:
+    return [(marker, f"{marker[:-2]}_{name}__") for edge, name in EDGES[marker] if value >= edge]
+
+
+def markers(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(grams, metrics): synthetic pairs as in ``ngrams`` and, per document, max_depth, max_block_stmts, max_params, branch_count.
+
+    A body without children gives (__empty_body__, what holds it); bodies of callables, parameter lists and depths give a pair for
+    every bucket edge they reach. Punctuation, operators and comments are no children. One sorted stream, as in ``ngrams``.
+    """
+
+    def fold(batches):
+        doc, path, rows, best = None, [], [], None
+
+        def close(depth):
+            while len(path) > depth:
+                kind, n = path.pop()
+                held = path[-1][0] if path else None
+                if kind in BODIES and held is not None:
+                    if n == 0:
+                        rows.append((doc, "__empty_body__", held, None, None, None, None))
+                    if held in CALLABLES:
+                        best[1] = max(best[1], n)
+                        rows.extend((doc, *g, None, None, None, None) for g in _crossed("__large_body__", n))
+                if kind in PARAMETERS:
+                    best[2] = max(best[2], n)
+                    rows.extend((doc, *g, None, None, None, None) for g in _crossed("__many_params__", n))
+
+        def frame():
+            out = pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype="int64" if i == 0 else "object" if i < 3 else "Int32") for i, n in enumerate(MARKER_COLUMNS)})
+            rows.clear()
+            return out
+
+        for pdf in batches:
+            for d, kind, depth in zip(pdf.doc_id.tolist(), pdf.kind.tolist(), pdf.depth.tolist(), strict=True):
+                if d != doc:
+                    if doc is not None:
+                        close(0)
+                        rows.append((doc, None, None, *best))
+                    doc, best = d, [0, 0, 0, 0]
+                close(depth)
+                path.extend([None, 0] for _ in range(depth - len(path)))
+                if depth and re.search(r"\w", kind) and "comment" not in kind:
+                    path[-1][1] += 1
+                best[0] = max(best[0], depth)
+                best[3] += kind in BRANCHES
+                rows.extend((d, *g, None, None, None, None) for g in _crossed("__deep_node__", depth))
+                path.append([kind, 0])
+            yield frame()
+        if doc is not None:
+            close(0)
+            rows.append((doc, None, None, *best))
+            yield frame()
+
+    stream = nodes.select("doc_id", "ord", "kind", "depth").repartition("doc_id").sortWithinPartitions("doc_id", "ord")
+    out = stream.mapInPandas(fold, "doc_id bigint, p string, c string, max_depth int, max_block_stmts int, max_params int, branch_count int")
+    grams = out.filter("p IS NOT NULL").groupBy("doc_id", F.lit(None).cast("string").alias("gp"), "p", "c").agg(F.count("*").alias("count"))
+    return grams, out.filter("p IS NULL").select("doc_id", *MARKER_COLUMNS[3:])
+
+
 def idf(grams: DataFrame, langs: DataFrame) -> DataFrame:
     """lang, gp, p, c, idf: per language, ln(n / (df + 1)) in single precision, plus 1."""
     n = langs.groupBy("lang").agg(F.count("*").alias("n"))
