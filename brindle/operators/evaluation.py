@@ -65,3 +65,21 @@ def coordinate_descent(evaluate, start: dict[str, float], candidates: dict[str,
         if top - before < least:
             break
     return best, top
+
+
+# Judgements wanted by field, and bounds on names.
+QUOTAS = {"type_definition": 15, "function_signature": 15, "import_export": 10, "symbol_name": 10}
+MAX_NAME_FILES, MIN_NAME_BYTES = 5, 4
+
+
+def generate_qrels(symbols: DataFrame) -> DataFrame:
+    """query, relevant_doc, field of symbols (doc_id, pos, name, field): names of four bytes or more with a letter, in five documents at
+    most; a name's first place counts, and each field gives its first names up to its quota."""
+    rows = symbols.filter((F.octet_length("name") >= MIN_NAME_BYTES) & F.col("name").rlike(r"\p{L}"))
+    first = rows.groupBy("name").agg(F.min(F.struct("doc_id", "pos", "field")).alias("f"), F.count_distinct("doc_id").alias("df")).filter(F.col("df") <= MAX_NAME_FILES)
+    found = first.select(F.col("name").alias("query"), F.col("f.doc_id").alias("relevant_doc"), "f.pos", "f.field")
+    tops = [found.filter(F.col("field") == field).orderBy("relevant_doc", "pos").limit(n) for field, n in QUOTAS.items()]
+    out = tops[0]
+    for t in tops[1:]:
+        out = out.unionByName(t)
+    return out.select("query", "relevant_doc", "field")

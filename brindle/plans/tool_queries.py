@@ -9,8 +9,10 @@ from brindle.functions import parsers, serde, shell
 from brindle.functions import source_modes as sm
 from brindle.functions import tool_outputs as to
 from brindle.operators import chat
+from brindle.operators import evaluation as ev
 from brindle.operators import structural as st
 from brindle.plans.views import table, touches, with_views
+from brindle.sources import history_text as src
 from brindle.sources import sinks
 
 
@@ -108,6 +110,15 @@ def _bodies(sp, d):
     return rows.select(F.col("doc_id").alias("request_id"), F.col("text").alias("body"))
 
 
+def _transcript(sp, d):
+    """A call an event and, but for every third, its result."""
+    e = table(sp, d, "events").selectExpr("event_id AS i", "event_type AS t")
+    call = """concat('{"type":"codex.tool_decision","tool":"shell","tool_decision_id":"', i, '","args":{"command":"run ', t, '"}}')"""
+    done = """concat('{"type":"codex.tool_result","tool_decision_id":"', i, '","result":{"content":"out ', i, '","is_error":', i % 3 = 1, '}}')"""
+    rows = e.selectExpr("concat('s', i % 20) AS session_id", "i * 2 AS line_no", f"{call} AS line").unionByName(e.filter("i % 3 > 0").selectExpr("concat('s', i % 20) AS session_id", "i * 2 + 1 AS line_no", f"{done} AS line"))
+    return rows
+
+
 def _nodes(sp, d):
     """One callable an event, with event_id % 14 parameters and event_id % 45 statements, every ninth of them a branch."""
     i = F.col("event_id")
@@ -134,6 +145,8 @@ QUERIES = {
     "chat_route": lambda sp, d: chat.route(chat.text_blocks(_bodies(sp, d))).select("request_id", "message_no", "block_no", "content_class", "engine", "outcome", "reason", "bytes_in", "bytes_out"),
     "structural_markers": lambda sp, d: st.markers(_nodes(sp, d))[0].drop("gp"),
     "structural_metrics": lambda sp, d: st.markers(_nodes(sp, d))[1],
+    "session_codex": lambda sp, d: src.parse_flat_sessions(_transcript(sp, d), "codex"),
+    "eval_qrels": lambda sp, d: ev.generate_qrels(table(sp, d, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("pos"), F.concat("p_brand", F.lit("_"), (F.col("p_partkey") % 97).cast("string")).alias("name"), F.element_at(F.array(*map(F.lit, ev.QUOTAS)), (F.col("p_partkey") % 4 + 1).cast("int")).alias("field"))),
     "history_excludes": lambda sp, d: touches(sp, d).select("path").distinct().select("path", parsers.is_excluded(F.concat(F.lit("dist/"), F.col("path"))).alias("dist"), parsers.is_excluded(F.concat(F.col("path"), F.lit("/a.lock"))).alias("lock"), parsers.is_excluded(F.col("path")).alias("plain")),
     "index_manifest": lambda sp, d: sinks.manifest(table(sp, d, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"), "lang")),
     "savings_cut_command": lambda sp, d: table(sp, d, "documents").select("doc_id", sinks.cut_bytes(F.col("text"), 500).alias("cut")).select("doc_id", F.octet_length("cut").alias("n"), F.sha2("cut", 256).alias("sha256")),
@@ -196,6 +209,10 @@ ORACLES = {
         UNION ALL SELECT i, '__many_params__', '__many_params_b' || k || '__' FROM v JOIN (VALUES (5), (8), (12)) AS w(k) ON a >= k)
         SELECT i AS doc_id, p, c, count(*) AS count FROM m GROUP BY ALL""",
     "structural_metrics": "SELECT event_id AS doc_id, 2 AS max_depth, (event_id % 45)::INT AS max_block_stmts, (event_id % 14)::INT AS max_params, (event_id % 45 // 9)::INT AS branch_count FROM events",
+    "session_codex": _E + "SELECT 's' || (i % 20) AS session_id, row_number() OVER (PARTITION BY i % 20 ORDER BY i)::INT AS seq, 'shell' AS tool, 'run ' || t AS command, CASE WHEN i % 3 > 0 THEN i % 3 = 1 END AS is_error, CASE WHEN i % 3 > 0 THEN 'out ' || i END AS result FROM e",
+    "eval_qrels": """WITH s AS (SELECT p_partkey AS d, p_brand || '_' || (p_partkey % 97) AS name, (['type_definition', 'function_signature', 'import_export', 'symbol_name'])[(p_partkey % 4 + 1)::INT] AS field FROM part),
+        f AS (SELECT name, min(d) AS d, min_by(field, d) AS field FROM s GROUP BY name HAVING count(DISTINCT d) <= 5)
+        SELECT name AS query, d AS relevant_doc, field FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY d) AS n FROM f) WHERE n <= CASE WHEN field IN ('type_definition', 'function_signature') THEN 15 ELSE 10 END""",
     "history_excludes": with_views(" SELECT DISTINCT path, true AS dist, true AS lock, false AS plain FROM touches"),
     "index_manifest": "SELECT 'd/' || doc_id AS path, sha256(text) AS sha256, lang, octet_length(encode(text))::INT AS n_bytes FROM documents",
     "savings_cut_command": "WITH c AS (SELECT doc_id, text, coalesce(list_max(list_filter(range(1, least(length(text), 500) + 1), lambda k: octet_length(encode(substr(text, 1, k))) <= 500)), 0) AS k FROM documents) SELECT doc_id, octet_length(encode(substr(text, 1, k)))::INT AS n, sha256(substr(text, 1, k)) AS sha256 FROM c",

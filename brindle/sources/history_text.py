@@ -47,6 +47,50 @@ def parse_sessions(lines: DataFrame) -> DataFrame:
     return uses.withColumn("seq", seq).join(results, ["session_id", "id"], "left").select("session_id", "seq", "tool", "command", "is_error", "result")
 
 
+FLAT_LAYOUTS = {
+    # By layout, event type and fields of calls, then of results: id, name, arguments; id, content, error.
+    "codex": (("codex.tool_decision", "tool_decision_id", "tool", "args"), ("codex.tool_result", "tool_decision_id", "result.content", "result.is_error")),
+    "copilot": (("tool_use", "id", "toolName", "toolArgs"), ("tool_result", "toolUseId", "content", "resultType")),
+}
+
+
+def _join_results(uses: DataFrame, results: DataFrame) -> DataFrame:
+    """Calls (session_id, line_no, k, id, tool, input) numbered in order, with the first result of their id."""
+    arg = lambda n: F.get_json_object("input", f"$.{n}")
+    first = results.groupBy("session_id", "id").agg(F.min_by("result", "line_no").alias("result"), F.min_by("is_error", "line_no").alias("is_error"))
+    seq = F.row_number().over(Window.partitionBy("session_id").orderBy("line_no", "k"))
+    rows = uses.withColumn("command", F.coalesce(arg("command"), arg("file_path"), arg("path"), arg("pattern"))).withColumn("seq", seq)
+    return rows.join(first, ["session_id", "id"], "left").select("session_id", "seq", "tool", "command", "is_error", "result")
+
+
+def parse_flat_sessions(lines: DataFrame, layout: str) -> DataFrame:
+    """As ``parse_sessions``, for transcripts with one call or result a line (codex, copilot). Malformed lines are left out."""
+    (use, uid, name, args), (done, rid, content, error) = FLAT_LAYOUTS[layout]
+    get = lambda p: F.get_json_object("line", f"$.{p}")
+    uses = lines.filter(get("type") == use).select("session_id", "line_no", F.lit(0).alias("k"), get(uid).alias("id"), get(name).alias("tool"), get(args).alias("input"))
+    failed = (get(error) == "error") if layout == "copilot" else get(error).try_cast("boolean")
+    return _join_results(uses, lines.filter(get("type") == done).select("session_id", "line_no", get(rid).alias("id"), get(content).alias("result"), failed.alias("is_error")))
+
+
+CURSOR = "struct<composerData:struct<conversations:array<struct<messages:array<struct<role:string,content:string,tool_call_id:string,tool_calls:array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>>>>>>>"
+
+
+def parse_nested_sessions(blobs: DataFrame) -> DataFrame:
+    """As ``parse_sessions``, for key-value stores that hold a JSON value of conversations each (session_id, value)."""
+    conversations = F.from_json("value", CURSOR)["composerData"]["conversations"]
+    rows = blobs.select("session_id", F.posexplode(F.flatten(F.transform(conversations, lambda c: c["messages"]))).alias("line_no", "m")).select("session_id", "line_no", "m.*")
+    uses = rows.filter("role = 'assistant'").select("session_id", "line_no", F.posexplode("tool_calls").alias("k", "c")).filter("c.type = 'function'")
+    uses = uses.select("session_id", "line_no", "k", "c.id", F.col("c.function.name").alias("tool"), F.col("c.function.arguments").alias("input"))
+    return _join_results(uses, rows.filter("role = 'tool'").select("session_id", "line_no", F.col("tool_call_id").alias("id"), F.col("content").alias("result"), F.lit(None).cast("boolean").alias("is_error")))
+
+
+def lines_or_array(texts: DataFrame) -> DataFrame:
+    """session_id, line_no, line of whole transcripts (session_id, text): JSON lines, or one JSON array of such objects."""
+    many = F.from_json("text", "array<string>")
+    parts = F.when(F.col("text").rlike(r"^\s*\["), many).otherwise(F.split("text", "\n"))
+    return texts.select("session_id", F.posexplode(parts).alias("line_no", "line")).filter(F.col("line").rlike(r"\S"))
+
+
 def read_tree(spark: SparkSession, root: str, limit: int = MAX_FILES) -> DataFrame:
     """path, content, lang, sha256, skip_reason of files below a folder that any Spark file system can list."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).orderBy("path").limit(limit)

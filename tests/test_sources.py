@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from brindle.functions import serde, shell
 from brindle.functions import source_modes as sm
 from brindle.operators import chat
+from brindle.operators import interfaces as itf
 from brindle.operators import lexical as lx
 from brindle.operators import structural as st
+from brindle.sources import history_text as src
 from brindle.sources import sinks
 
 TS = """import { a } from "b";
@@ -116,3 +118,23 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         assert {r.doc_id: r.output for r in sinks.cached_transform(files, f"{p}/cache", "structure").collect()} == {1: "abab", 2: "fn é() {...}", 3: "fn é() {...}"}
     assert spark.read.parquet(f"{p}/cache").count() == 2
+
+
+def test_other_transcripts(spark):
+    lines = lambda *objs: spark.createDataFrame([("s", n, o if isinstance(o, str) else json.dumps(o)) for n, o in enumerate(objs)], "session_id string, line_no int, line string")
+    pick = lambda df: [(r.seq, r.tool, r.command, r.is_error, r.result) for r in df.orderBy("seq").collect()]
+    cop = lines({"type": "tool_use", "id": "1", "toolName": "bash", "toolArgs": {"command": "ls"}}, "{bad", {"type": "tool_use", "id": "2", "toolName": "view", "toolArgs": {"path": "/a"}}, {"type": "tool_result", "toolUseId": "1", "content": "no", "resultType": "error"}, {"type": "tool_result", "toolUseId": "9", "content": "x"})
+    assert pick(src.parse_flat_sessions(cop, "copilot")) == [(1, "bash", "ls", True, "no"), (2, "view", "/a", None, None)]
+    call = {"id": "c", "type": "function", "function": {"name": "run", "arguments": json.dumps({"command": "make"})}}
+    blob = json.dumps({"composerData": {"conversations": [{"messages": [{"role": "assistant", "tool_calls": [call]}, {"role": "tool", "tool_call_id": "c", "content": "ok"}]}]}})
+    assert pick(src.parse_nested_sessions(spark.createDataFrame([("s", blob), ("t", "{}"), ("u", None)], "session_id string, value string"))) == [(1, "run", "make", None, "ok")]
+    flat = [{"type": "tool_use", "tool": "sh", "args": {"command": "a"}, "id": "1"}, {"type": "tool_result", "tool_use_id": "1", "content": "r", "is_error": False}]
+    whole = spark.createDataFrame([("a", json.dumps(flat)), ("b", "\n".join(map(json.dumps, flat)) + "\n"), ("c", "")], "session_id string, text string")
+    got = {(r.session_id, r.command, r.result) for r in src.parse_sessions(src.lines_or_array(whole)).collect()}
+    assert got == {("a", "a", "r"), ("b", "a", "r")}
+
+
+def test_contract(spark):
+    df = spark.createDataFrame([("aa  b",), ("x",), (None,)], "t string")
+    rows = itf.apply_contract(df, "t", lambda c: F.regexp_replace(c, "^x$", "longer"), [lambda a, b: b.isNotNull()]).collect()
+    assert [(r.out, r.accepted) for r in rows] == [("aa  b", True), ("x", False), (None, True)]
