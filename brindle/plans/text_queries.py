@@ -25,11 +25,11 @@ def _on(f):
 
 
 def _log_lines(sp, d):
-    """Documents' first lines as log lines: levels and stamps by position."""
-    rows = table(sp, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).filter("pos < 40")
+    """Documents' lines, all and whole, as log lines: levels and stamps by position."""
+    rows = table(sp, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     level = F.element_at(F.array(F.lit("[INFO] "), F.lit("ERROR: "), F.lit(""), F.lit("[debug] ")), (F.col("pos") % 4 + 1).cast("int"))
     stamp = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("2024-01-02T03:04:"), F.lpad((F.col("pos") % 60).cast("string"), 2, "0"), F.lit("Z "))).otherwise("")
-    return rows.select("doc_id", "pos", F.concat(stamp, level, F.substring("raw", 1, 2)).alias("line"))
+    return rows.select("doc_id", "pos", F.concat(stamp, level, "raw").alias("line"))
 
 
 def _doc(f, name="out"):
