@@ -1,14 +1,14 @@
 """Chat formatting by quotation linking, in DataFrame functions only.
 
-A message's quoted lines (``>`` marks, nested to any depth) are normalised and hashed; each is joined to the original: the
-earliest message of its conversation that has the line as its own. A message replies to the original of its
-shallowest, longest quotes. Threads follow replies up to their first message; ordering a conversation by (thread,
+A message's quoted passages (runs of lines with ``>`` marks, nested to any depth, of one depth) are normalised without line
+breaks; each is joined to its original: of all earlier messages of its conversation the one whose own words cover most
+of the passage, the latest on ties. A message replies to the original of its shallowest, longest quotes. Threads follow replies up to their first message; ordering a conversation by (thread,
 turn) puts replies under what they answer, and ``text`` no longer holds the quotes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import materialise, release
@@ -17,6 +17,10 @@ from brindle.llm.common import materialise, release
 MARKS = r"^[ \t]*>[> \t]*"
 #: Lines that introduce a quotation in four languages; they go with the quotation that follows.
 INTRO = r"(?m)^[ \t]*(?:On|Am|Le|El)\b[^\n]{0,200}(?:wrote|schrieb|écrit|escribió)[^\n]{0,80}:[ \t]*\n(?=[ \t]*>)"
+#: Words of a passage or line that find its places in other messages.
+ANCHOR = 4
+#: Turns in one range of the running maximum.
+RANGE = 1000
 
 
 def _lines(text: Column) -> Column:
@@ -40,38 +44,93 @@ def without_quotes(text: Column) -> Column:
     return F.when(text.rlike("(?m)" + MARKS), F.regexp_replace(F.regexp_replace(F.array_join(own, "\n"), r"^\s+|\s+$", ""), "\n{3,}", "\n\n")).otherwise(text)
 
 
+def _own_words(text: Column) -> Column:
+    """The author's own words in order, whatever the line breaks; each quoted line stands as one word that nobody writes."""
+    lines = F.transform(_lines(text), lambda x: F.when(x.rlike(MARKS), F.lit("\x00")).otherwise(normalised(x)))
+    return F.split(F.array_join(F.filter(lines, lambda x: x != ""), " "), " ")
+
+
+def _passages(quoting: DataFrame) -> DataFrame:
+    """conv_id, turn, depth, lines, norm: runs of quoted lines of one depth; norm joins their words without line breaks."""
+    lines = quoting.withColumn("message", F.monotonically_increasing_id()).select("conv_id", "turn", "message", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    lines = lines.select("conv_id", "turn", "message", "pos", depth(F.col("line")).alias("depth"), normalised(F.col("line")).alias("norm")).filter("depth = 0 OR norm <> ''")
+    order = Window.partitionBy("conv_id", "turn", "message").orderBy("pos")
+    starts = F.coalesce(F.col("depth") != F.lag("depth").over(order), F.lit(True)).cast("int")
+    runs = lines.withColumn("starts", starts).withColumn("run", F.sum("starts").over(order)).filter("depth > 0")
+    out = runs.groupBy("conv_id", "turn", "message", "run", "depth").agg(F.sort_array(F.collect_list(F.struct("pos", "norm"))).alias("l"))
+    return out.select("conv_id", "turn", "depth", F.col("l.norm").alias("lines"), F.array_join("l.norm", " ").alias("norm"))
+
+
+def _holders(messages: DataFrame, units: DataFrame) -> DataFrame:
+    """conv_id, norm, turn: every turn whose own words have the words of ``norm`` one after the other.
+
+    A unit's first ANCHOR words find the places, one join for all turns; each message then compares its places' words.
+    """
+    words = F.split("norm", " ")
+    units = units.select("conv_id", "norm", F.size(words).alias("n"), F.xxhash64(F.array_join(F.slice(words, 1, ANCHOR), " ")).alias("anchor"))
+    own = messages.select("conv_id", "turn", F.xxhash64("text").alias("id"), _own_words(F.col("text")).alias("words"))
+    at = lambda k: F.transform("words", lambda w, i: F.struct(i.alias("at"), F.xxhash64(F.array_join(F.slice("words", i + 1, k), " ")).alias("anchor")))
+    grams = own.select("conv_id", "turn", "id", F.explode(F.array_distinct(F.flatten(F.array(*(at(k) for k in range(1, ANCHOR + 1)))))).alias("g")).select("conv_id", "turn", "id", "g.*")
+    places = grams.join(units, ["conv_id", "anchor"]).groupBy("conv_id", "turn", "id").agg(F.collect_set(F.struct("at", "n", "norm")).alias("places"))
+    same = F.filter("places", lambda p: F.array_join(F.slice("words", p["at"] + 1, p["n"]), " ") == p["norm"])
+    return own.join(places, ["conv_id", "turn", "id"]).select("conv_id", "turn", F.explode(F.array_distinct(F.transform(same, lambda p: p["norm"]))).alias("norm")).distinct()
+
+
+def _best_before(asks: DataFrame, held: DataFrame) -> DataFrame:
+    """conv_id, norm, turn, original of ``asks``: of the earlier turns in ``held`` the one with most covered, the latest on ties.
+
+    A running maximum in two levels, so that a passage that a whole conversation quotes is not sorted in one task: of
+    ranges of RANGE turns, then within a range.
+    """
+    keys = ["conv_id", "norm"]
+    ask = asks.select(*keys, "turn").distinct().withColumn("point", F.lit(None).cast("struct<covered:bigint,turn:bigint>"))
+    rows = held.select(*keys, "turn", F.struct(F.col("covered").cast("bigint").alias("covered"), F.col("turn").cast("bigint").alias("turn")).alias("point"))
+    rows = rows.withColumn("ask", F.lit(False)).unionByName(ask.withColumn("ask", F.lit(True))).withColumn("range", F.floor(F.col("turn") / RANGE))
+    earlier = lambda part, by: Window.partitionBy(*part).orderBy(by).rangeBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy(*keys, "range").agg(F.max("point").alias("most")).select(*keys, "range", F.max("most").over(earlier(keys, "range")).alias("before"))
+    within = rows.withColumn("inside", F.max("point").over(earlier([*keys, "range"], "turn"))).filter("ask")
+    return within.join(ranges, [*keys, "range"]).select(*keys, "turn", F.greatest("before", "inside")["turn"].alias("original"), F.greatest("before", "inside")["covered"].alias("covered"))
+
+
 def link(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, reply_to, thread, n_quoted, n_linked, quote_depth: one row for each row of ``messages``.
 
     reply_to is the turn of the message answered, null without a linked quote; thread the turn of the first message of
-    the reply chain, its own turn at least; n_quoted the number of quoted lines with words, n_linked those with an
-    original, quote_depth the deepest nesting. Messages with a null conv_id or turn link with nothing and have a null
+    the reply chain, its own turn at least; n_quoted the number of quoted lines with words, n_linked those whose words
+    an earlier turn has, quote_depth the deepest nesting. Messages with a null conv_id or turn link with nothing and have a null
     thread where turn is null; null texts stay null. Repeated (conv_id, turn) rows quote together and each row is
     returned. Other columns are not read.
 
-    Originals are reduced to one turn for each (conversation, line) before the join, so a line that half a conversation
-    repeats is one row there; the join's other side may be skewed, which Spark splits. Only quoting messages and
-    lines that are quoted somewhere go beyond the first aggregation.
+    Every earlier turn is a candidate. A passage that one of them has whole goes to the latest such turn, by a running maximum,
+    linear in quotes and originals. Only passages that none has whole are compared line by line: each distinct one
+    meets all turns that have one of its lines. Only conversations with quotes go beyond the first aggregation.
     """
     base = messages.select("conv_id", "turn", "role", "text")
     usable = base.filter("conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL").select("conv_id", "turn", "text")
-    quoting = usable.filter(F.col("text").rlike("(?m)" + MARKS))
-    quoted = quoting.select("conv_id", "turn", F.explode(_lines(F.col("text"))).alias("line"))
-    quoted = quoted.select("conv_id", "turn", depth(F.col("line")).alias("depth"), normalised(F.col("line")).alias("norm")).filter("depth > 0 AND norm <> ''")
-    quoted = materialise(quoted.withColumn("hash", F.xxhash64("norm")), "quoted")
-
-    wanted = quoted.select("conv_id").distinct()
-    own = usable.join(wanted, "conv_id", "left_semi").select("conv_id", "turn", F.explode(_lines(F.col("text"))).alias("line"))
-    own = own.filter(~F.col("line").rlike(MARKS)).select("conv_id", "turn", normalised(F.col("line")).alias("norm")).filter("norm <> ''")
-    first = own.groupBy("conv_id", F.xxhash64("norm").alias("hash"), "norm").agg(F.min("turn").alias("original"))
-    found = quoted.join(first, ["conv_id", "hash", "norm"], "left").withColumn("original", F.when(F.col("original") < F.col("turn"), F.col("original")))
-
-    votes = found.groupBy("conv_id", "turn", "original").agg(F.count("*").alias("lines"), F.min("depth").alias("near"), F.max("depth").alias("far"), F.sum(F.length("norm")).alias("chars"))
+    quoted = materialise(_passages(usable.filter(F.col("text").rlike("(?m)" + MARKS))), "quoted")
+
+    lines = quoted.select("conv_id", F.explode("lines").alias("norm"))
+    units = quoted.select("conv_id", "norm").unionByName(lines).distinct()
+    own = usable.join(quoted.select("conv_id").distinct(), "conv_id", "left_semi")
+    held = materialise(_holders(own, units), "held")
+
+    whole = _best_before(quoted, held.join(quoted.select("conv_id", "norm").distinct(), ["conv_id", "norm"], "left_semi").withColumn("covered", F.length("norm")))
+    whole = materialise(quoted.join(whole, ["conv_id", "norm", "turn"], "left"), "whole")
+    rest = whole.filter("original IS NULL AND size(lines) > 1").drop("original", "covered")
+    each = rest.select("conv_id", "norm", "lines").distinct().select("conv_id", F.col("norm").alias("passage"), F.explode("lines").alias("norm"))
+    parts = each.join(held, ["conv_id", "norm"]).groupBy("conv_id", F.col("passage").alias("norm"), "turn").agg(F.sum(F.length(each["norm"])).alias("covered"))
+    first = held.groupBy("conv_id", F.col("norm").alias("line")).agg(F.min("turn").alias("first"))
+    seen = rest.select("conv_id", "turn", "norm").distinct().join(each.withColumnRenamed("norm", "line").withColumnRenamed("passage", "norm"), ["conv_id", "norm"])
+    seen = seen.join(first, ["conv_id", "line"]).filter("first < turn").groupBy("conv_id", "norm", "turn").agg(F.count("*").alias("linked"))
+    some = rest.join(_best_before(rest, parts), ["conv_id", "norm", "turn"], "left").join(seen, ["conv_id", "norm", "turn"], "left")
+    found = whole.filter("original IS NOT NULL OR size(lines) = 1").withColumn("linked", F.when(F.col("original").isNotNull(), F.size("lines")).cast("bigint")).unionByName(some)
+
+    votes = found.groupBy("conv_id", "turn", "original").agg(F.sum(F.size("lines")).alias("lines"), F.min("depth").alias("near"), F.max("depth").alias("far"), F.sum("covered").alias("chars"), F.sum("linked").alias("linked"))
     best = F.struct(-F.col("near"), F.col("chars"), F.col("original"))
     reply = votes.groupBy("conv_id", "turn").agg(
         F.max_by("original", F.when(F.col("original").isNotNull(), best)).alias("reply_to"),
         F.sum("lines").alias("n_quoted"),
-        F.sum(F.when(F.col("original").isNotNull(), F.col("lines")).otherwise(0)).alias("n_linked"),
+        F.sum("linked").alias("n_linked"),
         F.max("far").alias("quote_depth"),
     )
     reply = materialise(reply, "reply")
