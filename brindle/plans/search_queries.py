@@ -40,6 +40,13 @@ def _cochange_eval(sp, d):
     return ev.predict_cochange(test, h.cochange(train), train, (0.01, 0.02, 0.05))
 
 
+def _selectivity(sp, d):
+    """item_id, query, selectivity of every benchmark item; its whole text is the query. 0 for texts without a bigram."""
+    items = table(sp, d, "benchmark").select("item_id", F.col("text").alias("query"))
+    sums = lx.selectivity(items.select("query").distinct(), _weights(sp, d))
+    return items.join(sums, "query", "left").select("item_id", "query", F.round(F.coalesce("selectivity", F.lit(0.0)), 3).alias("selectivity"))
+
+
 QUERIES = {
     "search_bm25f": lambda sp, d: lx.ranked(lx.search(files(sp, d), KEYS, _weights(sp, d)), 50),
     "search_filtered": lambda sp, d: lx.ranked(lx.search(files(sp, d), KEYS, _weights(sp, d), lx.STRUCTURAL, files(sp, d).filter("doc_id % 3 = 0"), "en"), 20, 5),
@@ -49,7 +56,7 @@ QUERIES = {
     "search_term_frequency": lambda sp, d: lx.term_frequency(lx.postings(files(sp, d), KEYS[:4])),
     "search_file_meta": lambda sp, d: lx.file_meta(files(sp, d)),
     "search_corpus_stats": lambda sp, d: lx.corpus_stats(lx.file_meta(files(sp, d))).select("n_files", *(F.round(f"avg_{f}", 6).alias(f"avg_{f}") for f in range(8))),
-    "search_selectivity": lambda sp, d: lx.selectivity(table(sp, d, "benchmark").select(F.substring("text", 1, 40).alias("query")).distinct(), _weights(sp, d)).withColumn("selectivity", F.round("selectivity", 3)),
+    "search_selectivity": _selectivity,
     "search_context": lambda sp, d: files(sp, d).select("doc_id", lx.line_of(F.col("content"), F.lit(120)).alias("line"), F.md5(lx.context(F.col("content"), lx.line_of(F.col("content"), F.lit(120))).cast("binary")).alias("context")),
     "eval_ranking": lambda sp, d: ev.ranking_metrics(_ranked(sp, d), _qrels(sp, d)),
     "eval_hash_split": lambda sp, d: table(sp, d, "benchmark").select("item_id", ev.hash_split(F.col("text")).alias("split")),
