@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on a local master only, one of our own (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="brindle-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -34,10 +36,12 @@ def materialise(df: DataFrame, tag: str, partition_by: str | None = None) -> Dat
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
 
     The files survive lost executors, hold only the columns written and are compressed, which
-    ``checkpoint()`` is not.
+    ``checkpoint()`` is not. They go with ``release``, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    target, fs = _hadoop(spark, path)
+    fs.deleteOnExit(target)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -49,9 +53,13 @@ def release(df: DataFrame) -> None:
     """Delete the files behind a materialised frame that nothing reads any more."""
     path = getattr(df, "_scratch_path", None)
     if path:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        target, fs = _hadoop(df.sparkSession, path)
+        fs.delete(target, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def tokenizer_path(name: str) -> str:

@@ -9,8 +9,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -190,6 +193,29 @@ def features(p: str) -> list[str]:
     return ["bias", f"k={kind}", *(f"{kind}:{i}={x}" for i, x in enumerate(v)), *(f"v{i}={x}" for i, x in enumerate(v)), f"{kind}:l={size}", f"{kind}:h={entropy}"]
 
 
+class Taken:
+    """The union of spans as sorted disjoint ranges; whether a range is free of them is one binary search."""
+
+    def __init__(self, spans: Iterable[tuple[str, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.add(spans)
+
+    def add(self, spans: Iterable[tuple[str, int, int]]) -> None:
+        ranges = sorted([*zip(self.starts, self.ends, strict=True), *((s, e) for _, s, e in spans)])
+        self.starts, self.ends = [], []
+        for s, e in ranges:
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def free(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end)
+        return i == 0 or self.ends[i - 1] <= start
+
+
 def pattern_counts(docs: DataFrame) -> DataFrame:
     """pattern, n over all spans and candidates of all texts; there are a few thousand patterns at most, whatever the corpus."""
 
@@ -199,7 +225,8 @@ def pattern_counts(docs: DataFrame) -> DataFrame:
             if t:
                 base, wrong = _scan(t)
                 c.update(pattern(t, *s) for s in base)
-                c.update(pattern(t, *s) for s in candidates(t, wrong) if not any(s[1] < e and s[2] > b for _, b, e in base))
+                taken = Taken(base)
+                c.update(pattern(t, *s) for s in candidates(t, wrong) if taken.free(s[1], s[2]))
         return {"pattern": list(c), "n": list(c.values())}
 
     return map_rows(docs, run, "pattern string, n bigint", "text").groupBy("pattern").agg(F.sum("n").alias("n"))
@@ -263,13 +290,12 @@ def all_spans(text: str, model: Model, memo: dict[str, bool]) -> tuple[list, lis
             more.append(s)
     if not more:
         return base, base
-    taken = sorted((s, e) for _, s, e in base)
-    spans = list(base)
-    for k, s, e in more:
-        if all(e <= a or s >= b for a, b in taken):
-            spans.append((k, s, e))
-            taken.append((s, e))
-    return base, sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1]))
+    taken, spans = Taken(base), list(base)
+    for _, same in groupby(more, key=lambda x: x[0]):  # spans of one kind are in order and do not overlap each other
+        new = [x for x in same if taken.free(x[1], x[2])]
+        taken.add(new)
+        spans += new
+    return base, sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
 
 def find(docs: DataFrame, model: Model) -> DataFrame:

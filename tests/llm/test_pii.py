@@ -42,6 +42,33 @@ def test_long_texts_take_linear_time():
     assert time.time() - start < 30
 
 
+ACCEPTS_ALL = pii.Model({}, {"bias": 30.0})
+
+
+def test_many_accepted_spans_take_linear_time():
+    units = ("joe [at] mail [dot] org ", "a@b.de ", "token=abcdefghijkl1234 ", "(415) 555-1234 a@b.de 123-45-6789 ", "pwd: 4111111111111112 ")
+    for unit in units:
+        text = unit * (2_000_000 // len(unit))
+        start = time.time()
+        base, spans = pii.all_spans(text, ACCEPTS_ALL, {})
+        assert time.time() - start < 40 and len(spans) >= 2_000_000 // len(unit) - 1, unit
+
+
+def test_accepted_spans_against_brute_force():
+    rng = random.Random(3)
+    parts = ["token=", "a@b.de", " [at] ", "123-45-6789", "(415) 555-1234", "DE89 3704 0044 0532 0130 00", "4111111111111112", "+49 301 2345", " ", "x", "key: 'abcdefghijklmnop'", ".", "10.0.0.1"]
+    for _ in range(500):
+        text = "".join(rng.choice(parts) for _ in range(25))
+        base, wrong = pii._scan(text)
+        taken = [(s, e) for _, s, e in base]
+        want = list(base)
+        for k, s, e in pii.candidates(text, wrong):
+            if all(e <= a or s >= b for a, b in taken):
+                want.append((k, s, e))
+                taken.append((s, e))
+        assert sorted(pii.all_spans(text, ACCEPTS_ALL, {})[1]) == sorted(want)
+
+
 @pytest.fixture(scope="module")
 def fitted(spark):
     rng = random.Random(9)
