@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import pytest
@@ -59,3 +60,32 @@ def test_no_labels(fitted, spark):
     empty = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert t.score_table(d, t.train(d, empty)).filter("predicted = 1").count() == 0
     assert t.score_table(d.limit(0), fitted[4]).count() == 0
+
+
+def test_many_excused_hits_take_linear_time():
+    model = t.Model(((" idiot ", 3.0), (" proof", 1.0)), ("idiot proof",), 1.0, 0.0, 1.0)
+    a = model.automaton()
+    start = time.time()
+    assert t.hits("idiot proof " * 170_000, a)[0] == 0
+    assert time.time() - start < 20
+    assert t.hits("idiot - proof", a)[0] == 0 and t.hits("an idiot. Proof: idiot", a)[0] == 3.0
+
+
+def test_excused_hits_against_brute_force():
+    rng = random.Random(4)
+    phrases = ("a b", "b c d", "d a")
+    entries = tuple((f" {w} ", float(i + 1)) for i, w in enumerate("abcde"))
+    a = t.Model(entries, phrases, 1.0, 0.0, 1.0).automaton()
+    for _ in range(300):
+        words = [rng.choice("abcde") for _ in range(rng.randrange(12))]
+        covered = set()
+        for p in map(str.split, phrases):
+            covered.update(k for i in range(len(words)) if words[i : i + len(p)] == p for k in range(i, i + len(p)))
+        assert t.hits(" ".join(words), a)[0] == sum(ord(w) - 96.0 for i, w in enumerate(words) if i not in covered)
+
+
+def test_training_rows_are_bounded_and_distinct(spark):
+    d = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "same")] * 50 + [(None, "x"), (4, None)], "doc_id bigint, text string")
+    lab = spark.createDataFrame([(i, 1) for i in range(1, 9)], "doc_id bigint, toxic int")
+    assert t.training_rows(d, lab, 20).count() == 20
+    assert t.training_rows(d.filter("doc_id = 2"), lab).count() <= 1
