@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import WORD, materialise
 
-#: A (source, key range) bucket holds about this many documents: the largest sort of one task.
+#: A (source, key range) bucket holds about this many documents at most: the largest sort of one task.
 BUCKET_ROWS = 10_000
-LEAST_BUCKETS = 256
+LEAST_BUCKETS = 16
 
 
 def word_count(text: Column) -> Column:
@@ -42,7 +42,8 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), cap: float = 3.0) -> DataFrame:
     All sizes are shared out by weight; a share above ``cap`` times its source stops there and the excess is shared again
     by weight. The end of that process is found at once: in ascending order of cap / weight the first source whose level
     (what is left over the weights that are left) reaches no cap sets the level of all that follow. The windows have
-    no partition: they sort one row a source, not documents.
+    no partition: they sort one row a source, not documents, so one task holds as many rows as there are sources (a million
+    sources are some 100 MB there).
     """
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.row_number().over(Window.orderBy("skey")) - 1) % len(weights) + 1)
     limit = F.lit(float(cap)) * F.col("source_size")
@@ -66,7 +67,9 @@ def sample(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, seed: int = 17, car
     Repeated rows are documents of their own. Columns of any other name may be there.
 
     The prefix sum has two levels, so that no source is sorted in one task: word sums of key ranges of each source, then a
-    running sum within a range, each about BUCKET_ROWS documents; their number follows the largest source.
+    running sum within a range. Ranges are equally wide in the logarithm of the key. There the density of an exponential
+    key is at most 1/e whatever its quality, so no mixture of qualities fills a range with more than its width / e of a
+    source; the width follows from the largest source.
     """
     text = F.col("text")
     named = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)
@@ -78,8 +81,8 @@ def sample(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, seed: int = 17, car
 
     sizes = narrow.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     most = sizes.agg(F.max("n")).first()[0] or 0
-    n_buckets = max(LEAST_BUCKETS, math.ceil(most / BUCKET_ROWS))
-    bucket = lambda key: F.least(F.floor((1 - F.exp(-key)) * n_buckets), F.lit(n_buckets - 1)).cast("bigint")
+    steps = max(LEAST_BUCKETS, math.ceil(most / math.e / BUCKET_ROWS))  # ranges to a factor of e
+    bucket = lambda key: F.floor(F.log(key) * steps).cast("bigint")
 
     plan = targets(sizes, weights, cap)
     epochs = F.when(F.col("source_size") == 0, 0).when(F.col("capped"), cap).otherwise(F.floor(F.col("target") / F.col("source_size"))).cast("bigint")
@@ -97,16 +100,11 @@ def sample(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, seed: int = 17, car
 
 
 def apply(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, seed: int = 17) -> DataFrame:
-    """The mixed corpus with the columns of ``docs``: each document as often as it is taken, a last part cut to its words.
+    """The mixed corpus: rows of ``docs``, unchanged, each as often as it is taken.
 
-    Words of a cut document are joined by single spaces; n_chars, where there is one, follows the text.
+    The document on which a source's budget ends is kept whole if at least half of its words are within the budget, else left
+    out, so a source misses its target by half of that document at most. Documents without words are never taken.
     """
     rows = sample(docs, weights, cap, seed, carry=True).filter("taken > 0")
-    rest = (F.col("taken") % F.col("size")).cast("int")
-    whole = F.expr("taken div size")
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), whole + F.when(rest > 0, 1).otherwise(0))))
-    is_cut = F.col("copy") > whole
-    cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(f"({WORD})"), 1), F.lit(1), rest), " ")
-    rows = rows.withColumn("cut", F.when(is_cut, cut))
-    new = {"text": F.coalesce("cut", "row.text"), "n_chars": F.when(is_cut, F.length("cut")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else 0)}
-    return rows.select(*(new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns))
+    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    return rows.filter(copies > 0).select("row", F.explode(F.sequence(F.lit(1), copies)).alias("copy")).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
