@@ -10,10 +10,11 @@ phrases and a one-permutation min-hash of their names.
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -23,10 +24,11 @@ LEVELS = 5
 BINS = 64
 #: A level speaks for two texts if both have this many phrases there; the highest such level is compared.
 ENOUGH = 16
-#: Ids of one block: its rows are neighbours in one task, and no block has more distinct ids.
-BLOCK_IDS = 512
-#: Up to this many blocks their table (32 bytes a row) is broadcast; beyond, it is joined by shuffle.
-BROADCAST_BLOCKS = 50_000
+#: Bytes of text in one range of documents, about, and the most ranges there are; a range is read as a stream, so a larger
+#: one costs time in its task, not memory.
+RANGE_BYTES, MOST_RANGES = 32 << 20, 16_384
+#: Rows of the sample that sets the ranges' bounds, for each range.
+SAMPLED = 16
 
 _EMPTY = np.uint32(0xFFFFFFFF)
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -154,10 +156,10 @@ SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint strin
 
 
 def _compare_neighbours(it):
-    """Arrow batches sorted by (block, copy, doc_id) to results: each row with the one that follows it in its block."""
+    """Arrow batches sorted by (range, copy, doc_id, hash) to results: each row with the one that follows it in its range."""
     kinds = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}
     schema = pa.schema([(n, kinds[k]) for n, k in map(str.split, SCHEMA.split(", "))])
-    held: list[tuple] = []  # rows not yet given out: (block, copy, doc_id, text)
+    held: list[tuple] = []  # rows not yet given out: (range, copy, doc_id, text)
     size = 0
 
     def flush(rows):
@@ -183,26 +185,65 @@ def _compare_neighbours(it):
         yield flush(held)
 
 
+def _bounds(rows: DataFrame) -> list[tuple]:
+    """Lower (no id, doc_id, hash) keys of all ranges but the first, from a sample in which a row's chance follows its bytes.
+
+    They only balance the ranges; results don't depend on them. The sample has at most about SAMPLED * MOST_RANGES rows of
+    two numbers, whatever the table.
+    """
+    spark = rows.sparkSession
+    total = rows.agg(F.sum("bytes")).first()[0] or 0
+    n = min(MOST_RANGES, max(16 * spark.sparkContext.defaultParallelism, -(-total // RANGE_BYTES)))
+    chance = F.pmod(F.xxhash64("doc_id", "th", F.lit(8)), F.lit(1 << 30)) / float(1 << 30) * max(total, 1)
+    # a row of many times the usual share stands for several
+    picked = rows.filter(chance < F.col("bytes") * F.lit(float(SAMPLED * n))).select(F.col("doc_id").isNull().alias("none"), "doc_id", "th", F.greatest(F.lit(1), F.floor(F.col("bytes") * F.lit(float(SAMPLED * n)) / max(total, 1))).alias("w"))
+    keys = sorted((not r.none, r.doc_id or 0, r.th, r.w) for r in picked.collect())
+    out, seen, step = [], 0.0, max(1.0, sum(k[3] for k in keys) / n)
+    for k in keys:
+        if seen >= step:
+            out.append(k[:3])
+            seen = 0.0
+        seen += k[3]
+    return sorted(set(out))
+
+
+def _range_of(keys: list[tuple]) -> Column:
+    """The number of bounds at or below a row's key, found in two steps: among every 128th bound, then among those between."""
+    if not keys:
+        return F.lit(0)
+    make = lambda part: F.from_json(F.lit(json.dumps([{"a": bool(a), "b": b, "c": c} for a, b, c in part])), "array<struct<a:boolean,b:bigint,c:bigint>>")
+    own = F.struct(F.col("doc_id").isNotNull().alias("a"), F.coalesce("doc_id", F.lit(0)).alias("b"), F.col("th").alias("c"))
+    below = lambda bounds: F.size(F.filter(bounds, lambda x: x <= own))
+    step = 128
+    if len(keys) <= step:
+        return below(make(keys))
+    first = below(make(keys[::step]))
+    parts = F.from_json(F.lit(json.dumps([[{"a": bool(a), "b": b, "c": c} for a, b, c in keys[i : i + step]] for i in range(0, len(keys), step)])), "array<array<struct<a:boolean,b:bigint,c:bigint>>>")
+    return F.when(first == 0, 0).otherwise((first - 1) * step + below(F.element_at(parts, F.greatest(first, F.lit(1)))))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint every whole text and its edited text, and compare them and the next document's.
 
-    Null texts are empty. Documents follow one another by ascending doc_id (nulls first, equal ids by text), the first
-    after the last; a single document is its own successor. Repeated rows are documents of their own.
+    Null texts are empty. Documents follow one another by ascending doc_id (nulls first, equal ids by the text's hash, then the
+    text), the first after the last; a single document is its own successor. Repeated rows are documents of their own.
 
-    Texts are shuffled once, by blocks of BLOCK_IDS consecutive ids: rows of a block are sorted and read as a stream,
-    and the first document of the following block is copied to its end. Only ids are read to find these.
+    Texts are shuffled once, to ranges of the order with about as many bytes each: rows of a range are sorted and read as a
+    stream, and the first document of the following range is copied to its end. Bounds come from a sample, so neither
+    gaps between ids nor equal or missing ids make a range large; only rows equal in both id and text stay together.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    block = F.coalesce(F.floor(F.col("doc_id") / BLOCK_IDS).cast("bigint"), F.lit(-(1 << 62)))
-    rows = docs.select(block.alias("block"), "doc_id", "text")
-    blocks = rows.groupBy("block").agg(F.min("doc_id").alias("first_id"))
-    order = Window.orderBy("block")  # one row a block
-    last = F.max("block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    blocks = blocks.select("block", "first_id", F.coalesce(F.lag("block").over(order), last).alias("before"))
-    if blocks.count() <= BROADCAST_BLOCKS:
-        blocks = F.broadcast(blocks)
-    here = F.struct(F.col("block"), F.lit(False).alias("copy"))
-    there = F.struct(F.col("before").alias("block"), F.lit(True).alias("copy"))
-    placed = rows.join(blocks, "block").select(F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("first_id")), F.array(here, there)).otherwise(F.array(here))).alias("at"), "doc_id", "text")
-    placed = placed.select("at.block", "at.copy", "doc_id", "text").repartition("block").sortWithinPartitions("block", "copy", "doc_id", "text")
+    rows = docs.withColumn("th", F.xxhash64("text"))
+    bounds = _bounds(rows.select("doc_id", "th", (F.octet_length("text") + 64).alias("bytes")))
+    rows = rows.withColumn("range", _range_of(bounds).cast("int"))
+    least = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "th"))
+    heads = sorted((r.range, r.h) for r in rows.groupBy("range").agg(least.alias("h")).collect())  # one row a range
+    spark = docs.sparkSession
+    copies = [(h.doc_id, h.th, k, heads[i - 1][0]) for i, (k, h) in enumerate(heads)]
+    first = F.broadcast(spark.createDataFrame(copies, "first_id bigint, first_th bigint, first_range int, before int"))
+    here = F.struct("range", F.lit(False).alias("copy"))
+    there = F.struct(F.col("before").alias("range"), F.lit(True).alias("copy"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th"))
+    placed = rows.join(first, F.col("range") == F.col("first_range")).select(F.explode(F.when(is_first, F.array(here, there)).otherwise(F.array(here))).alias("at"), "doc_id", "th", "text")
+    placed = placed.select("at.range", "at.copy", "doc_id", "th", "text").repartition("range").sortWithinPartitions("range", "copy", "doc_id", "th", "text").drop("th")
     return placed.mapInArrow(_compare_neighbours, StructType.fromDDL(SCHEMA))
