@@ -256,34 +256,49 @@ def packets(media: DataFrame, id_col: str = "doc_id", media_col: str = "media")
 
 
 def feature(data: bytes) -> tuple[bytes, str]:
-    """(payload, feature string): counts of clusters, packets and cues, duration, and the samples' mean, deviation, entropy."""
+    """(payload, feature string): counts of clusters, packets and cues, duration, and the samples' mean, deviation, entropy.
+
+    Without samples these three are 0; a header without a duration counts as 0 ms. Bytes that are no whole file raise.
+    """
     found = parse(data)
     rows = sorted((p[1], p[2], p[3]) for p in found["packets"] if p[0] == 1)
     payload = b"".join(data[at : at + size] for _, at, size in rows)
     hist = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
-    n, level = hist.sum(), np.arange(256)
+    n, level = max(1, hist.sum()), np.arange(256)
     mean = float((hist * level).sum() / n)
     dev = float(np.sqrt((hist * (level - mean) ** 2).sum() / n))
     p = hist[hist > 0] / n
     starts = {p[6] for p in found["packets"]}
-    text = f"clusters={found['clusters']};packets={len(rows)};cues={sum(c[2] in starts for c in found['cues'])};ms={found['duration']:.0f};mean={mean:.4f};dev={dev:.4f};entropy={float(-(p * np.log2(p)).sum()):.4f}"
+    text = f"clusters={found['clusters']};packets={len(rows)};cues={sum(c[2] in starts for c in found['cues'])};ms={found['duration'] or 0:.0f};mean={mean:.4f};dev={dev:.4f};entropy={abs(float((p * np.log2(p)).sum())):.4f}"
     return payload, text
 
 
 def digest(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload and media digests and the feature of stored files, all from the stored bytes read back."""
+    """doc_id, n_bytes, payload and media digests and the feature of stored files, all from the stored bytes read back.
+
+    One row for each row of ``media``, repeated ones too. Null media count as no bytes. No bytes, and bytes that are no whole
+    file, have an empty payload, media digests as they are, and a feature of ``error=`` and the reason. Other columns are
+    not read.
+    """
+
+    def read(data: bytes) -> tuple[bytes, str]:
+        try:
+            return feature(data)
+        except (ValueError, IndexError, KeyError, TypeError, struct.error) as e:
+            return b"", f"error={e or type(e).__name__}"
 
     def run(ids, n_bytes, blobs):
-        read = [feature(d) for d in blobs]
+        stored = [d or b"" for d in blobs]
+        found = [read(d) for d in stored]
         return {
             "doc_id": ids,
             "n_bytes": n_bytes,
-            "payload_bytes": [len(p) for p, _ in read],
-            "payload_sha256": [hashlib.sha256(p).hexdigest() for p, _ in read],
-            "tail_crc32": [zlib.crc32(p[-UNIT:]) for p, _ in read],
-            "media_bytes": [len(d) for d in blobs],
-            "media_sha256": [hashlib.sha256(d).hexdigest() for d in blobs],
-            "feature": [f for _, f in read],
+            "payload_bytes": [len(p) for p, _ in found],
+            "payload_sha256": [hashlib.sha256(p).hexdigest() for p, _ in found],
+            "tail_crc32": [zlib.crc32(p[-UNIT:]) for p, _ in found],
+            "media_bytes": [len(d) for d in stored],
+            "media_sha256": [hashlib.sha256(d).hexdigest() for d in stored],
+            "feature": [f for _, f in found],
         }
 
     return map_rows(media, run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string", "doc_id", "n_bytes", "media")

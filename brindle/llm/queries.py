@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm import bpe, fingerprint, jaccard, matroska, mixing, pii, quotes, toxicity, url_filter
-from brindle.llm.common import table
+from brindle.llm.common import materialise, table
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +15,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matroska.digest(matroska.store(table(spark, sf_dir, "documents")))
+    return matroska.digest(materialise(matroska.store(table(spark, sf_dir, "documents")), "media"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,3 +53,15 @@ def test_tables(spark):
     bad = spark.createDataFrame([(1, b"junk"), (2, None), (3, m.mux(bytes(64))[:-9])], "doc_id bigint, media binary")
     assert sorted((r.doc_id, r.error is not None) for r in m.packets(bad).collect()) == [(1, True), (3, True)]
     assert m.digest(m.store(docs.limit(0))).count() == 0
+
+
+def test_digest_of_null_corrupt_and_empty_media(spark):
+    header = m.mux(m.pad(b"x"))[:60]
+    rows = [(1, 3, m.mux(m.pad(b"abc"))), (2, None, None), (3, 0, bytearray()), (4, 1, bytearray(b"\x1a\x45")), (5, 1, bytearray(header)), (1, 3, m.mux(m.pad(b"abc")))]
+    got = [r.asDict() for r in m.digest(spark.createDataFrame([(*r, 0, "f") for r in rows], "doc_id bigint, n_bytes bigint, media binary, media_bytes int, feature string")).collect()]
+    by = {r["doc_id"]: r for r in got}
+    assert len(got) == 6 and by[1]["payload_sha256"] == hashlib.sha256(m.pad(b"abc")).hexdigest()
+    empty = hashlib.sha256(b"").hexdigest()
+    for i in (2, 3, 4, 5):
+        assert by[i]["payload_bytes"] == 0 and by[i]["payload_sha256"] == empty and by[i]["tail_crc32"] == 0
+    assert by[2]["media_bytes"] == 0 and by[4]["media_bytes"] == 2 and by[4]["feature"].startswith("error=")
