@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from brindle.llm.common import map_rows, mix64, tokenizer_path
 
 INF = np.int64(1) << 40
-#: Pre-tokens above this many bytes are merged by a heap, in the same order: a matrix needs a round for each merge.
-MATRIX_BYTES = 192
+#: Pre-tokens above this many bytes are merged by a heap, in the same order: a matrix needs a round for each merge, so its time
+#: grows with the square of the bytes (figures in the README).
+MATRIX_BYTES = 1024
 #: Distinct pre-tokens a worker remembers; beyond it the memory is emptied and filled anew.
 REMEMBERED = 150_000
 
@@ -163,6 +164,7 @@ class Merges:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         left, right = (np.array([vocab[m[k]] for m in merges], np.int64) for k in (0, 1))
         merged = np.array([vocab[a + b] for a, b in merges], np.int64)
+        assert len(np.unique(merged)) == len(merged)  # count_pieces needs that a symbol is made by one merge only
         self.pairs = PairTable(left, right, np.arange(len(merges), dtype=np.int64), merged)
         self.byte_id = np.array([vocab[c] for c in byte_letters()], np.int64)
         self.special = {t["content"]: t for t in spec.get("added_tokens", [])}
@@ -182,14 +184,13 @@ class Merges:
         sym = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
         length = length[owner]
         count[owner] = length
-        slot = None
-        while len(owner):
-            start = np.concatenate(([0], np.cumsum(length)[:-1]))
-            slot = np.empty(len(sym), np.int64)
+        slot, rank = np.zeros(len(sym), np.int64), np.full(len(sym), INF)
+        if len(sym) > 1:
             slot[:-1] = self.pairs.find(sym[:-1], sym[1:])
-            rank = np.empty(len(sym), np.int64)
             rank[:-1] = self.pairs.rank[slot[:-1]]
-            rank[start + length - 1] = INF  # no pair across two pieces
+        rank[np.cumsum(length) - 1] = INF  # no pair across two pieces
+        while len(owner):
+            start = np.concatenate(([0], np.cumsum(length)[:-1]))
             low = np.minimum.reduceat(rank, start)
             going = low < INF
             if not going.all():
@@ -199,8 +200,7 @@ class Merges:
                 if not len(owner):
                     break
                 start = np.concatenate(([0], np.cumsum(length)[:-1]))
-            hit = rank == np.repeat(low, length)
-            at = np.flatnonzero(hit)
+            at = np.flatnonzero(rank == (low[0] if len(low) == 1 else np.repeat(low, length)))
             if len(at) > 1 and (np.diff(at) == 1).any():  # overlapping occurrences: every second one of a run, from its left
                 fresh = np.concatenate(([True], np.diff(at) > 1))
                 run = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
@@ -208,8 +208,14 @@ class Merges:
             sym[at] = self.pairs.merged[slot[at]]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
-            length = np.add.reduceat(keep.astype(np.int64), start)
-            sym = sym[keep]
+            length = length - np.bincount(np.searchsorted(start, at, side="right") - 1, minlength=len(length))
+            at = (np.cumsum(keep) - 1)[at]
+            sym, rank, slot = sym[keep], rank[keep], slot[keep]
+            fresh = np.concatenate([at, at[at > 0] - 1])  # pairs with a new symbol; the others keep their ranks
+            fresh = fresh[fresh < len(sym) - 1]
+            slot[fresh] = self.pairs.find(sym[fresh], sym[fresh + 1])
+            rank[fresh] = self.pairs.rank[slot[fresh]]
+            rank[np.cumsum(length) - 1] = INF
             count[owner] = length
         return count
 
@@ -260,7 +266,7 @@ def encode(texts: list[str | None], path: str, pattern: str) -> list[bytes]:
 
 
 def decode(ids: bytes, path: str) -> bytes:
-    """The bytes that packed ids stand for."""
+    """The bytes that packed ids stand for. An unknown id raises KeyError, a length that is no multiple of 4 ValueError."""
     return b"".join(map(load_ranks(path).bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
@@ -300,11 +306,20 @@ def encode_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def decode_table(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, decoded (binary) of rows with packed ids; null ids decode to nothing."""
+    """doc_id, decoded (binary) of rows with packed ids, one for one; null and empty ids decode to no bytes.
+
+    decoded is null where the ids cannot be read: an unknown id, or bytes that are no whole number of ids.
+    """
     path = path or tokenizer_path("byte_bpe_50k.tiktoken")
 
+    def read(packed: bytes) -> bytes | None:
+        try:
+            return decode(packed, path)
+        except (KeyError, ValueError):
+            return None
+
     def run(doc_ids, packed):
-        return {"doc_id": doc_ids, "decoded": [decode(p or b"", path) for p in packed]}
+        return {"doc_id": doc_ids, "decoded": [read(p or b"") for p in packed]}
 
     return map_rows(encoded, run, "doc_id bigint, decoded binary", "doc_id", "ids")
 

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -41,7 +42,7 @@ def test_encode_equals_library_and_decodes(library):
 def test_heap_and_matrix_agree():
     ranks = bpe.load_ranks(RANKS)
     rng = random.Random(3)
-    pieces = [bytes(rng.choice(b"abett ingox") for _ in range(rng.randrange(2, 150))) for _ in range(300)]
+    pieces = [bytes(rng.choice(b"abett ingox") for _ in range(rng.randrange(2, 150))) for _ in range(300)] + [bytes(rng.choice(b"etaoinsh") for _ in range(n)) for n in (900, 1023, 1024, 1024)]
     pieces = [p for p in pieces if p not in ranks.ids]
     assert [np.frombuffer(x, "<u4").tolist() for x in ranks.encode_pieces(pieces)] == [ranks.by_heap(p) for p in pieces]
 
@@ -52,6 +53,23 @@ def test_count_equals_library():
     assert bpe.count(ts, MERGES, P.PATTERN) == [len(e.ids) for e in t.encode_batch(ts, add_special_tokens=False)]
 
 
+def test_long_runs(library):
+    rng = random.Random(11)
+    runs = ["".join(rng.choice("etaoinshrdlu") for _ in range(80_000)), "ab" * 100_000, "z" * 300_001, "é" * 50_000]
+    t = Tokenizer.from_file(MERGES)
+    start = time.time()
+    assert bpe.count(runs, MERGES, P.PATTERN) == [len(e.ids) for e in t.encode_batch(runs, add_special_tokens=False)]
+    assert time.time() - start < 60
+    for run, ids in zip(runs, bpe.encode(runs, RANKS, P.PATTERN), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(run)
+
+
+def test_unreadable_ids(spark):
+    rows = [(1, bytearray(b"\x00\x00\x00")), (2, bytearray(b"\xff" * 4)), (3, None), (None, bytearray())]
+    got = {r.doc_id: r.decoded for r in bpe.decode_table(spark.createDataFrame(rows, "doc_id bigint, ids binary")).collect()}
+    assert got == {1: None, 2: None, 3: b"", None: b""}
+
+
 def test_tables(spark):
     rows = [(1, "a b"), (2, None), (None, ""), (1, "a b"), (3, "x<|endoftext|>")]
     docs = spark.createDataFrame([(*r, "z", 1) for r in rows], "doc_id bigint, text string, ids string, n_tokens int")
