@@ -18,7 +18,8 @@ def connected(edges: DataFrame) -> DataFrame:
 
     A round points every node's larger neighbours, then its smaller ones, at the smallest it knows; about as many rounds
     as the logarithm of the longest path are needed. Minima are aggregated before the shuffle, so a node with very many
-    neighbours is one row there. Each round is written to the shared folder, which cuts the lineage.
+    neighbours is one row there. Each round is written to the shared folder, which cuts the lineage; ``release`` deletes
+    the last one.
     """
     now = materialise(_down(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "edges")
     mark = _mark(now)
@@ -37,6 +38,7 @@ def connected(edges: DataFrame) -> DataFrame:
         mark = new_mark
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     out = stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    out._scratch_path = now._scratch_path
     return out
 
 

@@ -3,13 +3,16 @@
 Documents of a size band share one partition of the universe into segments. Two sets that are similar enough differ in
 at most H shingles, so if segments with allowances v (1: equal; 2: at most one shingle differs) have a sum above H,
 some segment stays within its allowance. Each document indexes the hash of its part of every segment, and for segments
-of allowance 2 also of the part with each one shingle left out. How many segments get allowance 2 is decided for each
-band by the estimated cost of index rows and candidates.
+of allowance 2 also of the part with each one shingle left out. How many segments get allowance 2, and how many of a
+document's least telling parts are left out, is decided for each band by the estimated cost of index rows and
+candidates. The estimate uses what the pass over all documents measures: which shingles many documents share, and how
+much unrelated documents overlap in the others.
 
 Documents with equal hashes form buckets. Buckets are reduced to stars within tasks and again after the shuffle; star
 edges are verified on whole sets; what a star leaves undecided in buckets of three or more is verified in blocks of
 documents of similar size, so no bucket is ever expanded into its pairs and no link is lost. Before texts are fetched,
 parity bitmaps of the sets, a few bits a shingle, bound their symmetric difference from below and rule most pairs out.
+Sets are compared by 64-bit hashes of their shingles.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from brindle.llm.common import map_rows, materialise, mix64, release, slices
@@ -29,8 +33,13 @@ from brindle.llm.shingles import shingle_sets
 
 #: Upper over lower size of a band.
 RATIO = 1.3
-#: The cost of a candidate in index rows, and the chance that one of a document's shingles is in an unrelated one.
-CANDIDATE_COST, OVERLAP = 40, 0.05
+#: The cost of a candidate in index rows, as measured: about 100 µs for an edge that is looked up and ruled out or verified,
+#: 2.5 µs for an index row that is made, shuffled and sorted.
+CANDIDATE_COST = 40
+#: Shingles that are looked at together for the statistics, the least share of their documents that makes a shingle common,
+#: the documents among them that are compared with all others, and how many common shingles are remembered. The latter
+#: only rank a document's parts; no result depends on them.
+CHUNK_SHINGLES, COMMON_SHARE, PROBES, COMMON_KEPT = 1_000_000, 0.002, 32, 1 << 18
 #: (hash, document) rows that a task gathers before it reduces them to stars.
 GATHERED = 400_000
 #: Shingles and documents of a verification block.
@@ -62,8 +71,9 @@ class Threshold:
 
 @dataclass(frozen=True)
 class Band:
-    """Segments of allowance 2 (deleting) come before those of allowance 1 (exact). skip: how many of a document's
-    smallest exact parts are not indexed; spare: the allowance that may fall on deleting parts of at most one shingle."""
+    """Segments of allowance 2 (deleting) come before those of allowance 1 (exact). skip: how many of a document's least
+    telling exact parts (or deleting ones, where there are no exact ones) are not indexed; spare: the allowance that may
+    fall on deleting parts of at most one shingle."""
 
     low: int
     high: int  # exclusive
@@ -91,33 +101,51 @@ def _poisson(mean: float) -> np.ndarray:
     return np.exp(k * math.log(mean) - mean - np.array([math.lgamma(x + 1) for x in k]))
 
 
-def allocate(low: int, high: int, documents: int, t: Threshold) -> Band:
-    """The cheapest allocation for a band: how many segments get allowance 2, and how many of a document's smallest parts,
-    which tell least, it leaves out. Costs are index rows and the candidates expected among the band's documents."""
+@dataclass(frozen=True)
+class Overlap:
+    """What unrelated documents share. pairs: (part of a document's rarer shingles that another one has, share of all pairs
+    of documents with that); common: the share of shingles that many documents have."""
+
+    pairs: tuple[tuple[float, float], ...] = ((0.05, 1.0),)
+    common: float = 0.0
+
+
+def allocate(low: int, high: int, documents: int, t: Threshold, overlap: Overlap = Overlap()) -> Band:
+    """The cheapest allocation for a band: how many segments get allowance 2, and how many of a document's least telling
+    parts it leaves out. Costs are index rows and the candidates expected of the band's ``documents``; a bucket is reduced
+    to a star, so an index row makes one candidate at most.
+    """
     h, size = t.most_apart(high - 1), (low + high) / 2
+    shares = sorted({0, *(math.ceil(h * f) for f in (0.05, 0.1, 0.15, 0.2, 0.3, 0.45))})
+    options = [(h + 1 + skip + 2 * (d > 0) - 2 * d, d, skip, 2 * (d > 0)) for d in sorted({0, *(round(h * f) for f in (0.1, 0.25, 0.5)), *range(min(h, 4) + 1)}) for skip in shares if skip or d]
+    options = [o for o in options if o[0] >= max(o[2], 1)] + [(0, h // 2 + 2 * skip + 1, skip, 0) for skip in shares]
     best = None
-    for d in sorted({0, *(round(h * f) for f in (0.1, 0.25, 0.5)), *range(min(h, 4) + 1)}):
-        for skip in sorted({1, *(math.ceil(h * f) for f in (0.05, 0.1, 0.15, 0.2, 0.3, 0.45))}):
-            spare = 2 if d else 0
-            e = h + 1 + skip + spare - 2 * d
-            if e < skip:
-                continue
-            p = _poisson(size / (d + e))
-            k = np.arange(len(p))
-            kept = np.minimum(p, np.maximum(0, np.cumsum(p) - (skip / e if e else 0)))  # the smallest parts go first
-            chance = (e * kept * OVERLAP**k).sum() + d * (p * (2 * k + 1) * OVERLAP ** np.maximum(k - 1, 0)).sum()
-            rows = e - skip + d * (1 + size / (d + e))
-            cost = rows + CANDIDATE_COST * chance * documents
-            if best is None or cost < best[0]:
-                best = (cost, Band(low, high, e, d, skip, spare))
+    for e, d, skip, spare in options:
+        mean = size / (d + e)
+        p = _poisson(max(mean * (1 - overlap.common), 1e-3))
+        k = np.arange(len(p))
+        equal = sum(share * o**k for o, share in overlap.pairs)
+        near = np.minimum(1, sum(share * (2 * k + 1) * o ** np.maximum(k - 1, 0) for o, share in overlap.pairs))
+        least = lambda n: np.minimum(p, np.maximum(0, np.cumsum(p) - (skip / n)))  # noqa: B023, E731 (the least telling parts go first)
+        met = lambda chance: 1 - np.exp(-documents * np.minimum(1, chance))
+        if e:
+            rows, found = e - skip + d * (1 + mean), (e * least(e) * met(equal)).sum() + d * (p * (1 + k) * met(near)).sum()
+        else:
+            rows, found = (d - skip) * (1 + mean), (d * least(d) * (1 + k) * met(near)).sum()
+        cost = rows + CANDIDATE_COST * found
+        if best is None or cost < best[0]:
+            best = (cost, Band(low, high, e, d, skip, spare))
     return best[1]
 
 
-def signatures(s: np.ndarray, number: int, band: Band) -> np.ndarray:
+def signatures(s: np.ndarray, number: int, band: Band, common: np.ndarray | None = None) -> np.ndarray:
     """Index hashes of one set in one band: of each segment's part, and with one shingle left out where that is allowed.
 
-    Two similar sets agree on segments with allowances of at least 1 + skip + spare. The exact ones among these have equal
-    parts, so both sets rank them alike by size; the first ``skip`` of a set's ranking can't hold them all.
+    A part tells the less the fewer shingles it has that are not common (sorted hashes), then the fewer it has at all; both
+    follow from the part alone. With exact segments two similar sets agree on segments with allowances of at least
+    1 + skip + spare. The exact ones among these have equal parts, so both sets rank them alike; the first ``skip`` of a
+    set's ranking can't hold them all. Without, at least 1 + 2 * skip segments differ by one shingle at most, and what two
+    sets leave out, however they rank, can't hold them all.
     """
     m, d = band.segments, band.deleting
     mixed = mix64(s + np.uint64((number + 1) * 0x9E3779B97F4A7C15 % 2**64))
@@ -125,8 +153,17 @@ def signatures(s: np.ndarray, number: int, band: Band) -> np.ndarray:
     part = np.zeros(m, np.uint64)
     np.add.at(part, segment, mixed)
     size = np.bincount(segment, minlength=m)
+    rare = size
+    if common is not None and len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        rare = np.bincount(segment[common[at] != s], minlength=m)
     label = mix64(np.arange(m, dtype=np.uint64) + (np.uint64(number + 1) << np.uint64(32)))
-    exact = d + np.argsort(size[d:], kind="stable")[band.skip :]
+    if not band.exact:
+        kept = np.zeros(m, bool)
+        kept[np.lexsort((size, rare))[band.skip :]] = True
+        cut = kept[segment]
+        return mix64(np.concatenate([part[kept] + label[kept], part[segment[cut]] - mixed[cut] + label[segment[cut]]]))
+    exact = d + np.lexsort((size[d:], rare[d:]))[band.skip :]
     out = [part[exact] + label[exact]]
     if d:
         cut = segment < d
@@ -161,16 +198,76 @@ def _sets(texts: list[str | None], width: int, seed: int) -> list[np.ndarray]:
     return shingle_sets([(t or "").encode() for t in texts], width, seed)
 
 
+_SETS = "doc_id bigint, th bigint, n bigint, node bigint, proof bigint, bits binary, kind int, x bigint, y bigint"
+
+
 def set_table(docs: DataFrame, width: int, seed: int = 0) -> DataFrame:
-    """doc_id, th (hash of the text), n, node, proof, bits (bitmap) of every row. Rows with equal sets have equal nodes; n = 0 links with nothing."""
+    """doc_id, th (hash of the text), n, node, proof, bits (bitmap) of every row, kind 0. Rows with equal sets have equal nodes;
+    n = 0 links with nothing. Further rows hold x and y only: a common shingle and its documents (kind 1), a tenth of an
+    overlap below 0.5 and its pairs (2), all pairs (3), occurrences of common shingles and of all (4)."""
+    schema = StructType.fromDDL(_SETS)
+    arrow = to_arrow_schema(schema)
 
-    def run(ids, hashes, texts):
-        sets = _sets(texts, width, seed)
-        nodes = [node_of(s) for s in sets]
-        return {"doc_id": ids, "th": hashes, "n": [len(s) for s in sets], "node": [n for n, _ in nodes], "proof": [p for _, p in nodes], "bits": [bitmap(s) if len(s) else None for s in sets]}
+    def facts(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        none = pa.nulls(len(rows), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, none, none, pa.nulls(len(rows), pa.binary()), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(arrow)[6:], strict=True))], schema=arrow)
 
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    return map_rows(rows, run, "doc_id bigint, th bigint, n bigint, node bigint, proof bigint, bits binary", "doc_id", "th", "text", rows=256, size=1 << 20)
+    def run(it):
+        held: dict[int, np.ndarray] = {}
+        size = 0
+        for batch in it:
+            for start, stop in slices(batch, ("text",), 256, 1 << 20):
+                part = batch.slice(start, stop - start)
+                sets = _sets(part.column(2).to_pylist(), width, seed)
+                nodes = [node_of(s) for s in sets]
+                zero = pa.array(np.zeros(len(sets), np.int32))
+                none = pa.nulls(len(sets), pa.int64())
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in nodes], pa.int64()), pa.array([b for _, b in nodes], pa.int64()), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns, zero, none, none], schema=arrow)
+                for (node, _), s in zip(nodes, sets, strict=True):
+                    if len(s) and node not in held:
+                        held[node] = s
+                        size += len(s)
+                if size > CHUNK_SHINGLES:
+                    yield facts(chunk_facts(list(held.values())))
+                    held, size = {}, 0
+        if len(held) > 1:
+            yield facts(chunk_facts(list(held.values())))
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    return rows.mapInArrow(run, schema)
+
+
+def chunk_facts(sets: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    """(kind, x, y) rows of some different sets, as ``set_table`` gives them."""
+    token, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = df >= max(4, math.ceil(COMMON_SHARE * len(sets)))
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    holders, first = owner[np.argsort(inverse, kind="stable")], np.cumsum(df) - df
+    ends = np.cumsum([len(s) for s in sets])
+    hist, pairs = np.zeros(5, np.int64), 0
+    for i in range(0, len(sets), max(1, len(sets) // PROBES)):
+        own = inverse[ends[i] - len(sets[i]) : ends[i]]
+        own = own[~common[own]]
+        pairs += len(sets) - 1
+        if len(own):
+            at = np.repeat(first[own] - np.cumsum(df[own]) + df[own], df[own]) + np.arange(df[own].sum())
+            shared = np.bincount(holders[at], minlength=len(sets))
+            shared[i] = 0
+            part = shared[shared > 0] / len(own)
+            hist += np.bincount((part[part < 0.5] * 10).astype(np.int64), minlength=5)
+    out = [(1, x, y) for x, y in zip(token[common].view(np.int64).tolist(), df[common].tolist(), strict=True)]
+    return [*out, *((2, i, int(n)) for i, n in enumerate(hist)), (3, 0, pairs), (4, int(df[common].sum()), int(df.sum()))]
+
+
+def measured(facts: DataFrame) -> tuple[np.ndarray, Overlap]:
+    """(sorted common shingles, overlap) of all chunks' rows; of very many common shingles the most frequent."""
+    common = facts.filter("kind = 1").groupBy("x").agg(F.sum("y").alias("y")).orderBy(F.desc("y"), "x").limit(COMMON_KEPT).select("x").toArrow()
+    rows = {(r.kind, r.x if r.kind == 2 else 0): (r.s, r.y) for r in facts.filter("kind > 1").groupBy("kind", F.when(F.col("kind") == 2, F.col("x")).otherwise(0).alias("x")).agg(F.sum(F.col("x")).alias("s"), F.sum("y").alias("y")).collect()}
+    pairs = max(1, rows.get((3, 0), (0, 0))[1])
+    part, whole = rows.get((4, 0), (0, 0))
+    found = tuple(((i + 0.5) / 10, rows[2, i][1] / pairs) for i in range(5) if rows.get((2, i), (0, 0))[1])
+    return np.sort(common.column(0).to_numpy().view(np.uint64)), Overlap(found, part / max(1, whole))
 
 
 _INDEX = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
@@ -200,7 +297,7 @@ def _local_stars(key: np.ndarray, node: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(k[cut]), pa.array(a[cut]), pa.array(b[cut], mask=nulls[cut])], schema=_INDEX)
 
 
-def _index(width: int, seed: int, t: Threshold, plan: list[Band]):
+def _index(width: int, seed: int, t: Threshold, plan: list[Band], common: np.ndarray):
     lows = [b.low for b in plan]
 
     def run(it):
@@ -217,7 +314,7 @@ def _index(width: int, seed: int, t: Threshold, plan: list[Band]):
                     for number in range(own, -1, -1):
                         if number < own and plan[number].high <= t.smallest(len(s)):
                             break
-                        sig = signatures(s, number, plan[number])
+                        sig = signatures(s, number, plan[number], common)
                         keys.append(sig.view(np.int64))
                         nodes.append(np.full(len(sig), node, np.int64))
                         n += len(sig)
@@ -393,6 +490,7 @@ def _decide_rest(docs: DataFrame, clusters: DataFrame, comps: DataFrame, classes
     members = clusters.withColumnRenamed("comp", "cluster").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     members = materialise(members, "members")
     open_ = members.groupBy("cluster").agg(F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("k > 2 AND lo <> hi").select("cluster")
+    open_ = _small(materialise(open_, "undecided"))
     base = math.log(t.den / t.num * 1.0001)
     rows = members.join(open_, "cluster", "left_semi").join(classes.select("node", "n", "bits"), "node").withColumn("c", F.floor(F.log("n") / base))
     rows = materialise(rows, "open")
@@ -400,6 +498,7 @@ def _decide_rest(docs: DataFrame, clusters: DataFrame, comps: DataFrame, classes
     if rows.isEmpty():
         return None
     parts = rows.groupBy("cluster", "c").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("parts"))
+    parts = _small(materialise(parts, "parts"))
     for step, name in ((0, "own"), (1, "above"), (-1, "below")):
         rows = rows.join(parts.select("cluster", (F.col("c") - step).alias("c"), F.col("parts").alias(name)), ["cluster", "c"], "left")
     h = F.pmod(F.xxhash64("node"), F.col("own"))
@@ -437,22 +536,42 @@ def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Da
     """
     t, seed = Threshold(num, den), 0
     while True:  # two different sets with one 64-bit name would be merged: then hash anew
-        rows = materialise(set_table(docs, width, seed), "sets")
+        sets = materialise(set_table(docs, width, seed), "sets")
+        rows = sets.filter("kind = 0").select("doc_id", "th", "n", "node", "proof", "bits")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first")
         classes = materialise(rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), first, F.min("proof").alias("lo"), F.max("proof").alias("hi")), "classes")
         if classes.filter("lo <> hi").isEmpty():
             break
+        release(sets)
+        release(classes)
         seed += 1
-    comps = _components(docs, classes, width, seed, t)
-    where = rows.filter("n > 0").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if comps is not None else rows.filter("n > 0").withColumn("comp", F.col("node"))
-    heads = classes.select("node", "first").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if comps is not None else classes.select("first", F.col("node").alias("comp"))
-    heads = heads.groupBy("comp").agg(F.min("first").alias("head"))
-    out = where.join(heads, "comp").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("head.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("th") == F.col("head.th"))).alias("keep"))
+    comps = _components(docs, classes, sets.filter("kind > 0").select("kind", "x", "y"), width, seed, t)
+    named = materialise(_named(classes, comps), "named")
+    release(classes)
+    if comps is not None:
+        release(comps)
+    out = rows.filter("n > 0").select("doc_id", "th", "n", "node").join(named, "node").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("head.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("th") == F.col("head.th"))).alias("keep"))
     blank = rows.filter("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("keep"))
     return out.unionByName(blank)
 
 
-def _components(docs: DataFrame, classes: DataFrame, width: int, seed: int, t: Threshold) -> DataFrame | None:
+def _named(classes: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """node, head: the first row of each set's component. Heads of components are few rows and are broadcast where their count
+    allows it; else both sides of that join are plain tables, so that a component with very many sets can be split."""
+    alone = classes.select("node", F.col("first").alias("head"))
+    if comps is None:
+        return alone
+    linked = materialise(comps.join(classes.select("node", "first"), "node"), "linked")
+    heads = materialise(linked.groupBy("comp").agg(F.min("first").alias("head")), "heads")
+    return linked.join(_small(heads), "comp").select("node", "head").unionByName(alone.join(linked.select("node"), "node", "left_anti"))
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """A materialised narrow table, to be broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _components(docs: DataFrame, classes: DataFrame, facts: DataFrame, width: int, seed: int, t: Threshold) -> DataFrame | None:
     """node, comp of every set that is linked with another; None without links."""
     most = classes.agg(F.max("n")).first()[0]
     if not most:
@@ -463,9 +582,10 @@ def _components(docs: DataFrame, classes: DataFrame, width: int, seed: int, t: T
     per_band = dict.fromkeys(range(len(lows)), 0)
     number = sum((F.col("n") >= low).cast("int") for low in lows) - 1
     per_band |= {r.band: r.k for r in classes.groupBy(number.alias("band")).agg(F.count("*").alias("k")).collect()}  # a few dozen rows
-    plan = [allocate(low, high, per_band[i] + per_band.get(i + 1, 0), t) for i, (low, high) in enumerate(zip(lows, lows[1:], strict=False))]
+    common, overlap = measured(facts)
+    plan = [allocate(low, high, per_band[i] + per_band.get(i + 1, 0), t, overlap) for i, (low, high) in enumerate(zip(lows, lows[1:], strict=False))]
 
-    index = docs.select("text").filter("text <> ''").mapInArrow(_index(width, seed, t, plan), "key bigint, a bigint, b bigint")
+    index = docs.select("text").filter("text <> ''").mapInArrow(_index(width, seed, t, plan, common), "key bigint, a bigint, b bigint")
     stars = index.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_stars, "a bigint, b bigint, big boolean")
     edges = materialise(stars.groupBy("a", "b").agg(F.max("big").alias("big")), "stars")
     if edges.isEmpty():
@@ -474,15 +594,22 @@ def _components(docs: DataFrame, classes: DataFrame, width: int, seed: int, t: T
     release(edges)
     maybe = decided.filter("possible").select("a", "b")
     ends = maybe.select(F.col("a").alias("node")).unionByName(maybe.select(F.col("b").alias("node"))).distinct()
-    links = materialise(_verify(maybe, materialise(_fetch(docs, classes, ends), "texts"), width, seed, t), "links")
+    texts = materialise(_fetch(docs, classes, ends), "texts")
+    links = materialise(_verify(maybe, texts, width, seed, t), "links")
+    release(texts)
     if links.isEmpty() and decided.filter("big").isEmpty():
         return None
     comps = connected(links)
     clusters = connected(decided.filter("big").select("a", "b").unionByName(links))
+    release(decided)
+    release(links)
     more = _decide_rest(docs, clusters, comps, classes, width, seed, t)
     if more is None:
         return comps
-    return connected(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
+    out = connected(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
+    release(clusters)
+    release(comps)
+    return out
 
 
 def component_table(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:

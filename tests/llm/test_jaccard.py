@@ -91,8 +91,11 @@ def test_pigeonhole_never_misses():
             h = t.most_apart(lows[number + 1] - 1)
             bands = [j.allocate(lows[number], lows[number + 1], k, t) for k in (1, 10**4, 10**9)]
             bands += [j.Band(lows[number], lows[number + 1], h + 1 + skip + 2 - 2 * d, d, skip, 2) for d in (0, 1, 3) for skip in (0, 2, h) if h + 3 - 2 * d >= 0]
+            bands += [j.Band(lows[number], lows[number + 1], 0, h // 2 + 2 * skip + 1, skip, 0) for skip in (0, 1, h // 3)]
+            common = np.sort(np.concatenate([rng.choice(base, len(base) // 3, replace=False), rng.integers(1, 2**63, 50).astype(np.uint64)]))
             for band in bands:
-                assert set(j.signatures(base, number, band).tolist()) & set(j.signatures(other, number, band).tolist())
+                for c in (None, common):
+                    assert set(j.signatures(base, number, band, c).tolist()) & set(j.signatures(other, number, band, c).tolist())
             size = min(len(j.bitmap(base)), len(j.bitmap(other)))
             apart = int(np.bitwise_count(j.fold(j.bitmap(base), size) ^ j.fold(j.bitmap(other), size)).sum())
             assert apart <= u - i <= t.apart(len(base), len(other))
@@ -130,3 +133,37 @@ def test_connected(spark):
         for a, b in edges:
             up[a] = up[b] = min(up[a], up[b])
     assert got == {k: v for k, v in up.items() if any(k in e and e[0] != e[1] for e in edges)}
+
+
+def test_allocation_follows_what_is_measured():
+    t = j.Threshold(90, 100)
+    few, many = (j.allocate(497, 646, n, t, j.Overlap(((0.05, 1.0),))) for n in (100, 10**8))
+    assert few.deleting == 0 and few.exact > 0 and many.exact == 0 and many.deleting > 0
+    alone = j.allocate(497, 646, 10**8, t, j.Overlap(()))
+    shared = j.allocate(497, 646, 10**5, t, j.Overlap(((0.05, 0.05),), 0.1))
+    assert shared.skip > alone.skip
+
+
+def test_facts_of_a_chunk():
+    rng = np.random.default_rng(2)
+    passage = rng.integers(1, 2**63, 40).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.integers(1, 2**63, 60).astype(np.uint64), passage if i % 2 else passage[:0], np.array([i // 3 + 5], np.uint64)])) for i in range(600)]
+    rows = j.chunk_facts(sets)
+    assert {x for k, x, _ in rows if k == 1} == set(passage.view(np.int64).tolist()) and all(y == 300 for k, _, y in rows if k == 1)
+    assert next((x, y) for k, x, y in rows if k == 4) == (300 * 40, sum(map(len, sets)))
+    probes = range(0, 600, 600 // j.PROBES)
+    assert next(y for k, _, y in rows if k == 3) == 599 * len(probes)
+    assert next(y for k, x, y in rows if k == 2 and x == 0) == 2 * len(probes)
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_shared_passages_and_deleting_segments(spark, monkeypatch, exact):
+    """A third of all texts share a long passage; with and without one-deletion segments chosen for every band."""
+    rng = random.Random(21)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"u{rng.randrange(5000)}" for _ in range(rng.randrange(40, 120))) + (" " + passage if i % 3 == 0 else "")) for i in range(150)]
+    rows += [(1000 + i, rows[i][1] + " tail") for i in range(0, 150, 4)]
+    if not exact:
+        monkeypatch.setattr(j, "allocate", lambda low, high, n, t, overlap: j.Band(low, high, 0, t.most_apart(high - 1) // 2 + 3, 1, 0))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert Counter(tuple(r) for r in j.component_table(docs, 3, 90, 100).collect()) == brute(rows, 3, 90, 100)
