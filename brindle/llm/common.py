@@ -116,6 +116,14 @@ def map_rows(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str, *na
     return df.select(*names).mapInArrow(batches(fn, schema, struct, *names, rows=rows, size=size), struct)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def lower_ascii(col):
     return F.translate(col, UPPER, LOWER)
 

@@ -622,8 +622,8 @@ def distinct(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) ->
 
     Of repeated rows (equal doc_id and text) one stays.
     """
-    kept = groups(docs, width, num, den).filter("keep").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    kept = groups(docs, width, num, den).filter("keep").select(F.col("doc_id").alias("head_id"), F.col("th").alias("head_th")).distinct()
     kept = materialise(kept, "kept")
-    rows = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = rows.join(kept, rows["doc_id"].eqNullSafe(kept["__id"]) & (rows["__hash"] == kept["__th"]), "left_semi")
-    return joined.dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("head_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    joined = rows.join(kept, rows["head_id"].eqNullSafe(kept["head_id"]) & (rows["hash"] == kept["head_th"]), "left_semi")
+    return joined.dropDuplicates(["head_id", "hash"]).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

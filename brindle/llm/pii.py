@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import map_append, map_rows
+from brindle.llm.common import map_append, map_rows, unused
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn", "secret")
@@ -325,12 +325,13 @@ def redacted(text: str | None, model: Model, memo: dict[str, bool]) -> str | Non
 
 def redact(docs: DataFrame, model: Model) -> DataFrame:
     """All rows and columns of ``docs`` with redacted texts; n_chars, where there is one, follows the text."""
+    name = unused(docs, "redacted")
 
     def run(texts):
         memo: dict[str, bool] = {}
-        return {"__redacted": [redacted(t, model, memo) for t in texts]}
+        return {name: [redacted(t, model, memo) for t in texts]}
 
-    rows = map_append(docs, run, "__redacted string", "text").withColumn("text", F.col("__redacted"))
+    rows = map_append(docs, run, f"`{name}` string", "text").withColumn("text", F.col(f"`{name}`"))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))

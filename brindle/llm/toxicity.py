@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import map_append, map_rows, materialise, release
+from brindle.llm.common import map_append, map_rows, materialise, release, unused
 
 # Letters of other scripts that look like Latin ones, digits and signs that stand for letters.
 HOMOGLYPHS = dict(zip("авеіјкмнорсѕтухԁһӏԛԝαβεικνορτυχ", "abeijkmhopcstyxdhlqwabeiknoptyx", strict=True))
@@ -239,5 +239,6 @@ def score_table(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFr
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose texts score below the threshold, with all their columns."""
-    rows = map_append(docs, lambda texts: {"__toxicity": scores(texts, model)}, "__toxicity double", "text")
-    return rows.filter(F.col("__toxicity") < threshold).drop("__toxicity")
+    name = unused(docs, "toxicity")
+    rows = map_append(docs, lambda texts: {name: scores(texts, model)}, f"`{name}` double", "text")
+    return rows.filter(F.col(f"`{name}`") < threshold).drop(name)
