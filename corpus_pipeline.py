@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm import bpe, jaccard, mixing, pii, toxicity
-from brindle.llm.common import materialise, table
+from brindle.llm.common import materialise, release, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another over ``documents``; each reads what its predecessor wrote, which goes once it is read.
+
+    doc_id, ids and n_tokens of every document kept, as often as the mix takes it. Null ids and repeated rows are
+    documents like others (of equal rows one stays, unless they have no words); null texts go with the mix, which takes
+    words. An empty table gives no rows; without labels nothing is rejected. Other columns are carried to the last stage.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(before)
     return docs
