@@ -213,7 +213,7 @@ ORACLES = {
     "eval_qrels": """WITH s AS (SELECT p_partkey AS d, p_brand || '_' || (p_partkey % 97) AS name, (['type_definition', 'function_signature', 'import_export', 'symbol_name'])[(p_partkey % 4 + 1)::INT] AS field FROM part),
         f AS (SELECT name, min(d) AS d, min_by(field, d) AS field FROM s GROUP BY name HAVING count(DISTINCT d) <= 5)
         SELECT name AS query, d AS relevant_doc, field FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY d) AS n FROM f) WHERE n <= CASE WHEN field IN ('type_definition', 'function_signature') THEN 15 ELSE 10 END""",
-    "history_excludes": with_views(" SELECT DISTINCT path, true AS dist, true AS lock, false AS plain FROM touches"),
+    "history_excludes": with_views(" SELECT DISTINCT path, true AS dist, true AS lock, starts_with(path, 'vendor/') AS plain FROM touches"),
     "index_manifest": "SELECT 'd/' || doc_id AS path, sha256(text) AS sha256, lang, octet_length(encode(text))::INT AS n_bytes FROM documents",
     "savings_cut_command": "WITH c AS (SELECT doc_id, text, coalesce(list_max(list_filter(range(1, least(length(text), 500) + 1), lambda k: octet_length(encode(substr(text, 1, k))) <= 500)), 0) AS k FROM documents) SELECT doc_id, octet_length(encode(substr(text, 1, k)))::INT AS n, sha256(substr(text, 1, k)) AS sha256 FROM c",
 }

@@ -30,9 +30,14 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files are named by brand and part; some lie in no folder, some in a vendored one, and some have a test that goes with them."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.col("l_quantity").cast("bigint").alias("additions"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    files = li.join(part, li.l_partkey == part.p_partkey).select(F.col("l_orderkey").alias("hash"), F.concat_ws("/", "p_brand", "l_partkey").alias("path"), "additions")
+    files = li.join(part, li.l_partkey == part.p_partkey)
+    k = F.col("l_partkey")
+    name = F.when(k % 17 == 0, F.concat(F.lit("note"), k.cast("string"), F.lit(".md"))).when(k % 23 == 0, F.concat(F.lit("vendor/"), k.cast("string"))).otherwise(F.concat_ws("/", "p_brand", "l_partkey"))
+    paths = F.when(k % 5 == 0, F.array(name, F.concat(F.lit("tests/t"), k.cast("string")))).otherwise(F.array(name))
+    files = files.select(F.col("l_orderkey").alias("hash"), F.explode(paths).alias("path"), "additions")
     return files.join(commits(spark, sf_dir), "hash")
 
 
@@ -56,7 +61,8 @@ SQL = f"""
 commits AS (
   SELECT o_orderkey AS hash, epoch(o_orderdate)::BIGINT AS ts, o_custkey AS author, o_orderpriority AS message, o_orderpriority = '1-URGENT' AS is_fix FROM orders
 ), touches AS (
-  SELECT c.*, p_brand || '/' || l_partkey AS path, l_quantity::BIGINT AS additions FROM lineitem JOIN part ON p_partkey = l_partkey JOIN commits c ON c.hash = l_orderkey
+  SELECT c.*, unnest(CASE WHEN l_partkey % 5 = 0 THEN [name, 'tests/t' || l_partkey] ELSE [name] END) AS path, l_quantity::BIGINT AS additions
+  FROM (SELECT *, CASE WHEN l_partkey % 17 = 0 THEN 'note' || l_partkey || '.md' WHEN l_partkey % 23 = 0 THEN 'vendor/' || l_partkey ELSE p_brand || '/' || l_partkey END AS name FROM lineitem JOIN part ON p_partkey = l_partkey) JOIN commits c ON c.hash = l_orderkey
 ), savings AS (
   SELECT floor(epoch(ts))::BIGINT AS timestamp, event_type AS command_type, event_type || ' ' || (event_id % 23) AS original_cmd,
     (floor(value * 10) + event_id % 100)::BIGINT AS raw_tokens, (floor(value * 4) + (event_id * 7) % 150)::BIGINT AS compressed_tokens,
@@ -71,3 +77,10 @@ commits AS (
 def with_views(sql: str) -> str:
     """DuckDB SQL over the derived relations. The text may begin with further CTEs, as ``, name AS (...) SELECT``."""
     return f"WITH {SQL.strip()} {sql}"
+
+
+def with_kept_views(sql: str) -> str:
+    """As ``with_views``, where touches lacks excluded paths and commits those that are left without a file."""
+    every = SQL.strip().replace("commits AS (", "every_commit AS (", 1).replace("), touches AS (", "), every_touch AS (", 1).replace("JOIN commits c", "JOIN every_commit c")
+    kept = ", touches AS (SELECT * FROM every_touch WHERE NOT starts_with(path, 'vendor/')), commits AS (SELECT * FROM every_commit WHERE hash IN (SELECT hash FROM touches))"
+    return f"WITH {every} {kept} {sql}"
