@@ -7,8 +7,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 FIELDS = ("type_def", "function_sig", "symbol", "import", "body", "comment", "string", "other")
 OTHER = 7
@@ -79,12 +83,72 @@ def corpus_stats(meta: DataFrame) -> DataFrame:
     return meta.agg(F.count("*").alias("n_files"), *(F.coalesce(F.avg(f"len_{f}"), F.lit(0.0)).alias(f"avg_{f}") for f in range(8)))
 
 
-def document_frequency(files: DataFrame) -> DataFrame:
-    """key, df, n over files with distinct content."""
+def _codes(content: str) -> np.ndarray:
+    raw = np.frombuffer(content.encode(), np.uint8).astype(np.uint16)
+    return (raw[:-1] << np.uint16(8)) | raw[1:]
+
+
+def term_counts(files: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """key, doc_id, tf_0..tf_7 of every bigram of every file, or of those in ``keys``: what ``term_frequency(postings(files))`` gives,
+    counted in Arrow batches without a row for each byte. Null contents have no bigram."""
+    mapped = "field_map" in files.columns
+    tf = [StructField(f"tf_{f}", LongType()) for f in range(8)]
+    schema = StructType([StructField("key", StringType()), files.schema["doc_id"], *tf])
+    arrow = to_arrow_schema(schema)
+    wanted = None if keys is None else np.array(sorted({int(k, 16) for k in keys}), np.uint16)
+
+    def run(it):
+        for batch in it:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            maps = batch.column(2).to_pylist() if mapped else [None] * len(texts)
+            owner, found, counts, size = [], [], [], 0
+            for i, (text, ranges) in enumerate(zip(texts, maps, strict=True)):
+                if text:
+                    code = _codes(text)
+                    field = np.full(len(code), OTHER, np.uint32)
+                    for r in reversed(ranges or []):
+                        field[max(0, r["start"]) : max(0, r["end"])] = r["field"]  # the first range that holds a position counts
+                    if wanted is not None:
+                        hit = np.isin(code, wanted)
+                        code, field = code[hit], field[hit]
+                    both, n = np.unique(code.astype(np.uint32) * 8 + field, return_counts=True)
+                    owner.append(np.full(len(both), i))
+                    found.append(both)
+                    counts.append(n)
+                    size += len(both)
+                if size > 200_000 or (size and i == len(texts) - 1):
+                    yield _count_rows(ids, np.concatenate(owner), np.concatenate(found), np.concatenate(counts), arrow)
+                    owner, found, counts, size = [], [], [], 0
+
+    return files.select("doc_id", "content", *(["field_map"] if mapped else [])).mapInArrow(run, schema)
+
+
+def _count_rows(ids: pa.Array, owner: np.ndarray, found: np.ndarray, counts: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    pair, inverse = np.unique(owner.astype(np.uint64) << np.uint64(16) | (found >> 3).astype(np.uint64), return_inverse=True)
+    tf = np.zeros((8, len(pair)), np.int64)
+    tf[found & 7, inverse] = counts
+    names = pa.array([f"{k:04X}" for k in (pair & np.uint64(0xFFFF)).tolist()])
+    return pa.RecordBatch.from_arrays([names, ids.take(pa.array((pair >> np.uint64(16)).astype(np.int64))), *map(pa.array, tf)], schema=schema)
+
+
+def document_frequency(files: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """key, df, n over files with distinct content; of ``keys`` only, where these are given. Counted within batches before the shuffle."""
     unique = files.select("content", F.sha2(F.col("content").cast("binary"), 256).alias("sha256")).dropDuplicates(["sha256"])
-    rows = unique.select(F.explode(F.array_distinct(_bigrams(F.col("content")))).alias("key"))
+    wanted = None if keys is None else np.array(sorted({int(k, 16) for k in keys}), np.int64)
+    schema = to_arrow_schema(StructType([StructField("key", StringType()), StructField("df", LongType())]))
+
+    def run(it):
+        total = np.zeros(1 << 16, np.int64)
+        for batch in it:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    total[np.unique(_codes(text))] += 1
+        some = np.flatnonzero(total) if wanted is None else wanted[total[wanted] > 0]
+        yield pa.RecordBatch.from_arrays([pa.array([f"{k:04X}" for k in some.tolist()], pa.string()), pa.array(total[some])], schema=schema)
+
+    rows = unique.select("content").mapInArrow(run, "key string, df bigint")
     total = unique.agg(F.count("*").alias("n")).withColumn("k", F.lit(1))
-    return rows.groupBy("key").agg(F.count("*").alias("df")).withColumn("k", F.lit(1)).join(F.broadcast(total), "k").select("key", "df", "n")
+    return rows.groupBy("key").agg(F.sum("df").alias("df")).withColumn("k", F.lit(1)).join(F.broadcast(total), "k").select("key", "df", "n")
 
 
 def idf(df: DataFrame) -> DataFrame:
@@ -123,23 +187,69 @@ def dominant_field(tf: list[Column]) -> Column:
     return F.when(best["n"] > 0, -best["f"]).otherwise(OTHER)
 
 
+def intersect(filters: list[DataFrame]) -> DataFrame:
+    """doc_id of documents that every one of the filter sets (each with doc_id) holds, once each."""
+    out = filters[0].select("doc_id").distinct()
+    for f in filters[1:]:
+        out = out.join(f.select("doc_id"), "doc_id", "left_semi")
+    return out
+
+
+def _scored(tf: DataFrame, meta: DataFrame, stats: DataFrame, weights: DataFrame, times: dict[str, int], config: Config, default_idf: float | None) -> DataFrame:
+    """doc_id, score, field of term counts; ``times`` says how often each key is asked for."""
+    query = F.create_map(*(F.lit(x) for kv in times.items() for x in kv)) if times else F.create_map().cast("map<string,int>")
+    default = F.lit(default_idf) if default_idf is not None else F.log("n_files") + 1
+    known = F.broadcast(weights.filter(F.col("key").isin(sorted(times))).select("key", "idf"))  # at most one row a byte of the query
+    rows = tf.join(known, "key", "left").join(meta, "doc_id")
+    rows = rows.withColumn("k", F.lit(1)).join(F.broadcast(stats.withColumn("k", F.lit(1))), "k").withColumn("idf", F.coalesce("idf", default))
+    scored = rows.groupBy("doc_id").agg(F.sum(bm25f(config) * F.element_at(query, F.col("key"))).alias("score"), *(F.sum(F.col(f"tf_{f}") * F.element_at(query, F.col("key"))).alias(f"t_{f}") for f in range(8)))
+    return scored.select("doc_id", F.round("score", 6).alias("score"), dominant_field([F.col(f"t_{f}") for f in range(8)]).alias("field"))
+
+
+def _allowed(meta: DataFrame, allow: DataFrame | None, lang: str | None) -> DataFrame:
+    some = meta if lang is None else meta.filter(F.col("lang") == lang)
+    return some if allow is None else some.join(allow.select("doc_id"), "doc_id", "left_semi")
+
+
 def search(files: DataFrame, keys: list[str], weights: DataFrame, config: Config = Config(), allow: DataFrame | None = None, lang: str | None = None, default_idf: float | None = None) -> DataFrame:
     """doc_id, score, field of the files that hold any of ``keys``; a key listed twice counts twice.
 
-    Allow-list and language filters run before postings are made; averages are those of all files.
+    Without an index: one pass over the texts. Allow-list and language filters run before terms are counted; averages are
+    those of all files.
     """
     config.validate()
     meta = file_meta(files)
-    some = files if lang is None else files.filter(F.col("lang") == lang)
-    some = some if allow is None else some.join(allow.select("doc_id"), "doc_id", "left_semi")
     times = {k: keys.count(k) for k in keys}
-    tf = term_frequency(postings(some, sorted(times)))
-    query = F.create_map(*(F.lit(x) for kv in times.items() for x in kv)) if times else F.create_map().cast("map<string,int>")
-    default = F.lit(default_idf) if default_idf is not None else F.log("n_files") + 1
-    rows = tf.join(weights.filter(F.col("key").isin(sorted(times))).select("key", "idf"), "key", "left").join(meta, "doc_id")
-    rows = rows.withColumn("k", F.lit(1)).join(F.broadcast(corpus_stats(meta).withColumn("k", F.lit(1))), "k").withColumn("idf", F.coalesce("idf", default))
-    scored = rows.groupBy("doc_id").agg(F.sum(bm25f(config) * F.element_at(query, F.col("key"))).alias("score"), *(F.sum(F.col(f"tf_{f}") * F.element_at(query, F.col("key"))).alias(f"t_{f}") for f in range(8)))
-    return scored.select("doc_id", F.round("score", 6).alias("score"), dominant_field([F.col(f"t_{f}") for f in range(8)]).alias("field"))
+    return _scored(term_counts(_allowed(files, allow, lang), sorted(times)), meta, corpus_stats(meta), weights, times, config, default_idf)
+
+
+@dataclass(frozen=True)
+class Index:
+    """A stored index: terms (sorted by key, then document), file_meta, corpus_stats and df below ``path``. A search reads the row
+    groups of its keys, never a text."""
+
+    spark: SparkSession
+    path: str
+
+    def read(self, part: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{part}")
+
+    def weights(self) -> DataFrame:
+        return idf(self.read("df"))
+
+    def terms(self, keys: list[str]) -> DataFrame:
+        return self.read("terms").filter(F.col("key").isin(sorted(set(keys))))
+
+    def search(self, keys: list[str], config: Config = Config(), allow: DataFrame | None = None, lang: str | None = None, default_idf: float | None = None) -> DataFrame:
+        """As ``search`` over the indexed files."""
+        config.validate()
+        times = {k: keys.count(k) for k in keys}
+        meta = _allowed(self.read("file_meta"), allow, lang)
+        return _scored(self.terms(keys), meta, self.read("corpus_stats"), self.weights(), times, config, default_idf)
+
+    def search_text(self, query: str, config: Config = Config(), **options) -> DataFrame:
+        keys, default = query_keys(query, self.weights(), options.get("default_idf"))
+        return self.search(keys, config, **options | {"default_idf": default})
 
 
 def ranked(scores: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
@@ -166,8 +276,6 @@ def covering_set(query: str, weights: dict[str, float], default: float) -> list[
 
     Under two bytes nothing is searched; above MAX_QUERY_BYTES the query is refused.
     """
-    import numpy as np
-
     raw = query.encode()
     if len(raw) > MAX_QUERY_BYTES:
         raise ValueError("query too long")
@@ -185,13 +293,19 @@ def covering_set(query: str, weights: dict[str, float], default: float) -> list[
     return out
 
 
-def search_text(files: DataFrame, query: str, weights: DataFrame, config: Config = Config(), **options) -> DataFrame:
-    """Search for a text: its covering set is made on the driver from the idf of its own bigrams only."""
+def query_keys(query: str, weights: DataFrame, default: float | None = None) -> tuple[list[str], float]:
+    """(covering set, idf of unknown keys) of a query text; on the driver, from the idf of its own bigrams only."""
     raw = query.encode()
     own = sorted({raw[i : i + 2].hex().upper() for i in range(len(raw) - 1)})
     known = {r.key: r.idf for r in weights.filter(F.col("key").isin(own)).select("key", "idf").collect()} if own else {}
-    default = options.get("default_idf") or max([*known.values(), 1.0])
-    return search(files, [k for k, _ in covering_set(query, known, default)], weights, config, **options | {"default_idf": default})
+    default = default or max([*known.values(), 1.0])
+    return [k for k, _ in covering_set(query, known, default)], default
+
+
+def search_text(files: DataFrame, query: str, weights: DataFrame, config: Config = Config(), **options) -> DataFrame:
+    """Search for a text without an index."""
+    keys, default = query_keys(query, weights, options.get("default_idf"))
+    return search(files, keys, weights, config, **options | {"default_idf": default})
 
 
 def context(content: Column, line: Column, around: int = 3) -> Column:

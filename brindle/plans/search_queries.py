@@ -8,6 +8,8 @@ from brindle.operators import evaluation as ev
 from brindle.operators import history as h
 from brindle.operators import lexical as lx
 from brindle.plans.views import commits, table, touches, with_views
+from brindle.sources import scratch
+from brindle.sources.sinks import write_lexical_index
 
 QUERY = "nation the border"
 KEYS = [QUERY.encode()[i : i + 2].hex().upper() for i in range(len(QUERY) - 1)]
@@ -21,8 +23,20 @@ def files(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), "lang", ranges.alias("field_map"))
 
 
-def _weights(sp, d):
-    return lx.idf(lx.document_frequency(files(sp, d)))
+def index(sp, d) -> lx.Index:
+    """The stored index of the documents, written at the first search of a session and whenever their files change."""
+    path = f"{scratch.shared_dir(sp).rstrip('/')}/lexical-{scratch.signature(sp, f'{d}/documents.parquet')}"
+    if scratch.exists(sp, f"{path}/corpus_stats/_SUCCESS"):
+        return lx.Index(sp, path)
+    scratch.keep_until_end(sp, path)
+    return write_lexical_index(files(sp, d), path)
+
+
+def _filtered(sp, d):
+    """English documents of more than one line that hold a digit."""
+    f = files(sp, d)
+    allow = lx.intersect([f.filter(F.col("content").contains("\n")), f.filter(F.col("content").rlike("[0-9]"))])
+    return lx.ranked(index(sp, d).search(KEYS, lx.STRUCTURAL, allow, "en"), 20, 5)
 
 
 def _ranked(sp, d):
@@ -43,19 +57,21 @@ def _cochange_eval(sp, d):
 def _selectivity(sp, d):
     """item_id, query, selectivity of every benchmark item; its whole text is the query. 0 for texts without a bigram."""
     items = table(sp, d, "benchmark").select("item_id", F.col("text").alias("query"))
-    sums = lx.selectivity(items.select("query").distinct(), _weights(sp, d))
+    sums = lx.selectivity(items.select("query").distinct(), index(sp, d).weights())
     return items.join(sums, "query", "left").select("item_id", "query", F.round(F.coalesce("selectivity", F.lit(0.0)), 3).alias("selectivity"))
 
 
 QUERIES = {
-    "search_bm25f": lambda sp, d: lx.ranked(lx.search(files(sp, d), KEYS, _weights(sp, d)), 50),
-    "search_filtered": lambda sp, d: lx.ranked(lx.search(files(sp, d), KEYS, _weights(sp, d), lx.STRUCTURAL, files(sp, d).filter("doc_id % 3 = 0"), "en"), 20, 5),
-    "search_text": lambda sp, d: lx.ranked(lx.search_text(files(sp, d), QUERY, _weights(sp, d))),
-    "search_idf": lambda sp, d: _weights(sp, d).select("key", "df", F.round("idf", 5).alias("idf")),
-    "search_weight_table": lambda sp, d: lx.weight_table(lx.document_frequency(files(sp, d)), 3.0).select("key", "df"),
+    "search_index": lambda sp, d: index(sp, d).read("terms").agg(F.count("*").alias("terms"), F.count_distinct("key").alias("keys"), *(F.sum(f"tf_{f}").alias(f"tf_{f}") for f in (0, 4, 7))),
+    "search_bm25f": lambda sp, d: lx.ranked(index(sp, d).search(KEYS), 50),
+    "search_filtered": _filtered,
+    "search_text": lambda sp, d: lx.ranked(index(sp, d).search_text(QUERY)),
+    "search_without_index": lambda sp, d: lx.ranked(lx.search(files(sp, d), KEYS, lx.idf(lx.document_frequency(files(sp, d), KEYS))), 50),
+    "search_idf": lambda sp, d: index(sp, d).weights().select("key", "df", F.round("idf", 5).alias("idf")),
+    "search_weight_table": lambda sp, d: lx.weight_table(index(sp, d).read("df"), 3.0).select("key", "df", F.round("idf", 5).alias("idf")),
     "search_term_frequency": lambda sp, d: lx.term_frequency(lx.postings(files(sp, d), KEYS[:4])),
-    "search_file_meta": lambda sp, d: lx.file_meta(files(sp, d)),
-    "search_corpus_stats": lambda sp, d: lx.corpus_stats(lx.file_meta(files(sp, d))).select("n_files", *(F.round(f"avg_{f}", 6).alias(f"avg_{f}") for f in range(8))),
+    "search_file_meta": lambda sp, d: index(sp, d).read("file_meta"),
+    "search_corpus_stats": lambda sp, d: index(sp, d).read("corpus_stats").select("n_files", *(F.round(f"avg_{f}", 6).alias(f"avg_{f}") for f in range(8))),
     "search_selectivity": _selectivity,
     "search_context": lambda sp, d: files(sp, d).select("doc_id", lx.line_of(F.col("content"), F.lit(120)).alias("line"), F.md5(lx.context(F.col("content"), lx.line_of(F.col("content"), F.lit(120))).cast("binary")).alias("context")),
     "eval_ranking": lambda sp, d: ev.ranking_metrics(_ranked(sp, d), _qrels(sp, d)),
@@ -85,14 +101,16 @@ def _scored(boosts: dict[int, float]) -> str:
 
 _SPLIT = ", part_of AS (SELECT hash, row_number() OVER (ORDER BY ts, hash) <= greatest(1, least(count(*) OVER () - 1, floor(count(*) OVER () * 0.8))) AS train FROM commits)"
 ORACLES = {
+    "search_without_index": "WITH " + _BIG + _Q + _scored({0: 5.0, 4: 1.0, 7: 1.0}) + " SELECT doc_id, score, field FROM scored ORDER BY score DESC, doc_id LIMIT 50",
     "search_bm25f": "WITH " + _BIG + _Q + _scored({0: 5.0, 4: 1.0, 7: 1.0}) + " SELECT doc_id, score, field FROM scored ORDER BY score DESC, doc_id LIMIT 50",
-    "search_filtered": "WITH " + _BIG + _Q + _scored({0: 3.0, 4: 1.0, 7: 1.0}) + " SELECT doc_id, score, field FROM scored WHERE lang = 'en' AND doc_id % 3 = 0 ORDER BY score DESC, doc_id LIMIT 20 OFFSET 5",
+    "search_filtered": "WITH " + _BIG + _Q + _scored({0: 3.0, 4: 1.0, 7: 1.0}) + " SELECT doc_id, score, field FROM scored WHERE lang = 'en' AND doc_id IN (SELECT doc_id FROM documents WHERE contains(text, chr(10)) AND regexp_matches(text, '[0-9]')) ORDER BY score DESC, doc_id LIMIT 20 OFFSET 5",
     "search_idf": "WITH " + _BIG + " SELECT key, df, round(idf, 5) AS idf FROM idf",
-    "search_weight_table": "WITH " + _BIG + " SELECT key, df FROM idf WHERE idf >= 3.0",
+    "search_weight_table": "WITH " + _BIG + " SELECT key, df, round(idf, 5) AS idf FROM idf WHERE idf >= 3.0",
     "search_term_frequency": "WITH " + _BIG + f" SELECT key, doc_id, tf_0, 0 AS tf_1, 0 AS tf_2, 0 AS tf_3, tf_4, 0 AS tf_5, 0 AS tf_6, tf_7 FROM tf WHERE key IN ({', '.join(repr(k) for k in KEYS[:4])})",
     "search_file_meta": "WITH " + _BIG + " SELECT * FROM meta",
     "search_corpus_stats": "WITH " + _BIG + " SELECT n_files, round(avg_0, 6) AS avg_0, 0.0 AS avg_1, 0.0 AS avg_2, 0.0 AS avg_3, round(avg_4, 6) AS avg_4, 0.0 AS avg_5, 0.0 AS avg_6, round(avg_7, 6) AS avg_7 FROM stats",
-    "search_selectivity": "WITH " + _BIG + ", qs AS (SELECT DISTINCT substr(text, 1, 40) AS query FROM benchmark), qg AS (SELECT query, substr(hex(encode(query)), 2 * i + 1, 4) AS key FROM (SELECT query, unnest(range(0, octet_length(encode(query)) - 1)) AS i FROM qs)) SELECT query, round(sum(coalesce(idf, 0)), 3) AS selectivity FROM qg LEFT JOIN idf USING (key) GROUP BY query",
+    "search_selectivity": "WITH " + _BIG + ", qg AS (SELECT item_id, substr(hex(encode(text)), 2 * i + 1, 4) AS key FROM (SELECT item_id, text, unnest(range(0, octet_length(encode(text)) - 1)) AS i FROM benchmark)), sums AS (SELECT item_id, sum(coalesce(idf, 0)) AS s FROM qg LEFT JOIN idf USING (key) GROUP BY item_id) SELECT item_id, text AS query, round(coalesce(s, 0), 3) AS selectivity FROM benchmark LEFT JOIN sums USING (item_id)",
+    "search_index": "WITH " + _BIG + " SELECT count(*) AS terms, count(DISTINCT key) AS keys, sum(tf_0)::BIGINT AS tf_0, sum(tf_4)::BIGINT AS tf_4, sum(tf_7)::BIGINT AS tf_7 FROM tf",
     "search_context": r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines, (length(substr(hex(encode(text)), 1, 240)) - length(regexp_replace(substr(hex(encode(text)), 1, 240), '^((?:..)*?)0A', '\1'))) AS x, text FROM documents),
       k AS (SELECT doc_id, lines, len(list_filter(range(0, least(120, octet_length(encode(text)))), lambda i: substr(hex(encode(text)), 2 * i + 1, 2) = '0A')) + 1 AS line FROM l)
       SELECT doc_id, line, md5(array_to_string(lines[greatest(line - 3, 1):line + 3], chr(10))) AS context FROM k""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -31,3 +32,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 def keep_until_end(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
+def signature(spark: SparkSession, path: str) -> str:
+    """A hash of the names, lengths and times of the files at or directly below ``path``; it changes when they do."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
+    facts = sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in found)
+    return hashlib.md5(repr((path, facts)).encode()).hexdigest()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

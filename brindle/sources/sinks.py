@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators import lexical
 
-MAX_COMMAND_BYTES, MAX_HISTORY_ROWS = 500, 500_000
-KEY_BUCKETS = 256
+MAX_COMMAND_BYTES = 500
 
 
 def cut_bytes(text: Column, most: int) -> Column:
@@ -21,20 +20,18 @@ def cut_bytes(text: Column, most: int) -> Column:
     return F.when(F.octet_length(text) <= most, text).otherwise(F.decode(F.substring(head, F.lit(1), cut), "UTF-8"))
 
 
-def write_lexical_index(files: DataFrame, path: str) -> None:
-    """postings (by bucket of keys, sorted, so that a query reads a few files), file_meta and corpus_stats below ``path``."""
-    bucket = F.pmod(F.hash("key"), F.lit(KEY_BUCKETS))
-    lexical.postings(files).withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "key", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    meta = lexical.file_meta(files)
-    meta.write.mode("overwrite").parquet(f"{path}/file_meta")
-    stored = meta.sparkSession.read.parquet(f"{path}/file_meta")
-    stored.agg(F.count("*").alias("file_count")).write.mode("overwrite").parquet(f"{path}/corpus_stats")
+def write_lexical_index(files: DataFrame, path: str) -> lexical.Index:
+    """terms, file_meta, df and corpus_stats below ``path``, the last one last: an index with it is whole.
 
-
-def read_postings(spark, path: str, keys: list[str]) -> DataFrame:
-    """Postings of some keys: only their buckets are read."""
-    ids = spark.createDataFrame([(k,) for k in keys], "key string").select(F.pmod(F.hash("key"), F.lit(KEY_BUCKETS)).alias("b")).distinct()
-    return spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin([r.b for r in ids.collect()]) & F.col("key").isin(keys)).drop("bucket")
+    Terms are dealt by (key, document) ranges, so a key that every document holds goes to many files, and sorted, so that a
+    search skips the row groups of other keys.
+    """
+    lexical.term_counts(files).repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id").write.mode("overwrite").parquet(f"{path}/terms")
+    lexical.file_meta(files).write.mode("overwrite").parquet(f"{path}/file_meta")
+    lexical.document_frequency(files).repartition(1).sortWithinPartitions("key").write.mode("overwrite").parquet(f"{path}/df")  # 65,536 rows at most
+    index = lexical.Index(files.sparkSession, path)
+    lexical.corpus_stats(index.read("file_meta")).write.mode("overwrite").parquet(f"{path}/corpus_stats")
+    return index
 
 
 def write_structural_index(grams: DataFrame, path: str) -> None:
@@ -47,12 +44,12 @@ def write_cochange(pairs: DataFrame, path: str) -> None:
     pairs.repartitionByRange("file_a", "file_b").sortWithinPartitions("file_a", "file_b").write.mode("overwrite").parquet(f"{path}/cochange")
 
 
-def write_history(tables: dict[str, DataFrame], path: str, most: int = MAX_HISTORY_ROWS) -> None:
-    """Replace each table; one with more than ``most`` rows raises, before anything of it is written."""
-    for name, df in tables.items():
-        n = df.limit(most + 1).count()
-        if n > most:
+def write_history(tables: dict[str, DataFrame], path: str, most: int | None = None) -> None:
+    """Replace each table. With ``most``, one with more rows raises before anything is written."""
+    for name, df in tables.items() if most is not None else ():
+        if df.limit(most + 1).count() > most:
             raise ValueError(f"{name} has more than {most} rows")
+    for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 

@@ -97,9 +97,9 @@ def test_markers(spark):
 def test_sinks(spark, tmp_path):
     p = str(tmp_path)
     files = spark.createDataFrame([(1, "abab", "rust"), (2, "fn é() { 1 }", "rust"), (3, "fn é() { 1 }", "rust")], "doc_id int, content string, lang string")
-    sinks.write_lexical_index(files, p)
-    assert sorted(r.doc_id for r in sinks.read_postings(spark, p, ["6162"]).collect()) == [1, 1] and spark.read.parquet(f"{p}/corpus_stats").first().file_count == 3
-    assert lx.postings(files).count() == spark.read.parquet(f"{p}/postings").count()
+    index = sinks.write_lexical_index(files, p)
+    assert [(r.doc_id, r.tf_7) for r in index.terms(["6162"]).collect()] == [(1, 2)] and index.read("corpus_stats").first().n_files == 3
+    assert lx.term_frequency(lx.postings(files)).count() == index.read("terms").count()
     rec = spark.createDataFrame([("é" * 300, "bad id!"), ("x", "ok")], "original_cmd string, session_id string")
     for _ in range(2):
         sinks.record_savings(rec, f"{p}/savings")
