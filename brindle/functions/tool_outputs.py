@@ -158,7 +158,8 @@ def package_results(outputs: DataFrame) -> DataFrame:
 
 def infra_items(outputs: DataFrame) -> DataFrame:
     """doc_id, pos, label, value, tier of cloud, container and web tools: entries of a JSON object, of each object of an array or of
-    lines, ``Key: value`` lines, plan summaries, resource records, or the cells of a table under its header."""
+    lines, ``Key: value`` lines, plan summaries, resource records, or the cells of a table under its header. An output that
+    none of these reads passes through: one row with its text as the value and no label."""
     pairs = lambda m: F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("label"), e["value"].alias("value")))
     lines = F.filter(lines_of(_text()), lambda x: x.rlike(r"\S"))
     obj, arr = F.from_json(_text(), "map<string,string>"), F.from_json(_text(), "array<map<string,string>>")
@@ -174,9 +175,11 @@ def infra_items(outputs: DataFrame) -> DataFrame:
     header = F.try_element_at(lines, F.lit(1))
     table = F.flatten(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.zip_with(cells(header), cells(x), lambda h, c: F.struct(F.lower(h).alias("label"), c.alias("value")))))
     textual = F.when(F.col("tool").isin("terraform") & _text().rlike(r"(Plan|Apply complete!).*\d+ (to add|added)"), plan).when(F.exists(lines, lambda x: x.rlike(record)), records).when(header.rlike(r"^[A-Z][A-Z ()/_-]+(\s{2,}[A-Z][A-Z ()/_-]*)+\s*$") & many, table).when(F.size(keys) > 0, keys)
-    rows = outputs.select("doc_id", structured.alias("a"), textual.alias("b"))
-    tier = F.when(F.col("a").isNotNull(), "full").otherwise("degraded")
-    return rows.select("doc_id", F.posexplode(F.coalesce("a", "b")).alias("pos", "i"), tier.alias("tier")).select("doc_id", "pos", "i.label", "i.value", "tier")
+    some = lambda c: F.when(F.size(c) > 0, F.col(c))
+    rows = outputs.select("doc_id", structured.alias("a"), textual.alias("b"), _text().alias("raw"))
+    tier = F.when(some("a").isNotNull(), "full").when(some("b").isNotNull(), "degraded").otherwise("passthrough")
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("label"), F.col("raw").alias("value")))
+    return rows.select("doc_id", F.posexplode(F.coalesce(some("a"), some("b"), whole)).alias("pos", "i"), tier.alias("tier")).select("doc_id", "pos", "i.label", "i.value", "tier")
 
 
 def db_rows(outputs: DataFrame) -> DataFrame:

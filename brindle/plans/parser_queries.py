@@ -51,6 +51,6 @@ ORACLES = {
     "parse_lint_issues": f"WITH {_LINT} SELECT doc_id, pos, 'src/' || event_type || '.py' AS file, n AS line, severity, 'bad ' || event_type AS message, rule FROM lint WHERE NOT noise",
     "parse_build_summary": f"WITH {_LINT} SELECT doc_id, count(*) FILTER (NOT noise AND severity = 'error') AS errors, count(*) FILTER (NOT noise AND severity = 'warning') AS warnings, count(*) FILTER (NOT noise AND severity = 'error') = 0 AS success, min_by('src/' || event_type || '.py:' || n || ':7: error: bad ' || event_type || ' [' || rule || ']', pos) FILTER (NOT noise AND severity = 'error') AS first_error FROM lint GROUP BY doc_id",
     "parse_history_log": with_views(" SELECT hash::VARCHAR AS hash, any_value(ts) AS ts, any_value(author)::VARCHAR AS author, path || '.rs' AS path, sum(additions)::BIGINT AS additions, 0 AS deletions FROM touches GROUP BY hash, path"),
-    "parse_deny_list": with_views(" SELECT DISTINCT path, true AS dist, true AS min, false AS plain FROM touches"),
+    "parse_deny_list": with_views(" SELECT DISTINCT path, true AS dist, true AS min, starts_with(path, 'vendor/') AS plain FROM touches"),
     "match_rewrites": "SELECT event_id AS cmd_id, CASE event_id % 4 WHEN 0 THEN 'CI=1 run test -q ' || event_type WHEN 2 THEN 'list ' || event_type END AS rewritten FROM events",
 }

@@ -16,12 +16,15 @@ SAMPLES = [
 ]
 
 
-def _samples(sp):
-    return sp.createDataFrame(list(enumerate(SAMPLES)), "id int, text string")
+def _texts(sp, d):
+    """Every document (id >= 0), every event's properties (below 0) and a few spelt-out texts (from 10 ** 12) that rules are about."""
+    docs = table(sp, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    events = table(sp, d, "events").select((-1 - F.col("event_id")).alias("id"), F.col("props").alias("text"))
+    return docs.unionByName(events).unionByName(sp.createDataFrame([(10**12 + i, x) for i, x in enumerate(SAMPLES)], "id bigint, text string"))
 
 
 def _on(f):
-    return lambda sp, d: _samples(sp).select("id", f(F.col("text")).alias("out"))
+    return lambda sp, d: _texts(sp, d).select("id", f(F.col("text")).alias("out"))
 
 
 def _log_lines(sp, d):
@@ -41,18 +44,18 @@ _PAIRS = [("git comit", "git commit"), ("ls a/b", "ls c/d"), ("ls a/b", "ls c/d
 QUERIES = {
     "text_language_path": _on(tx.language_of_path),
     "text_language_shebang": _on(tx.language_of_shebang),
-    "text_sensitive": lambda sp, d: _samples(sp).select("id", tx.sensitive_key(F.col("text")).alias("k"), tx.sensitive_value(F.col("text")).alias("v")),
+    "text_sensitive": lambda sp, d: _texts(sp, d).select("id", tx.sensitive_key(F.col("text")).alias("k"), tx.sensitive_value(F.col("text")).alias("v")),
     "text_redact_env": _on(tx.redact_env),
-    "text_fence": lambda sp, d: _samples(sp).select("id", tx.is_fenced(F.col("text")).alias("fenced"), tx.fence_hint(F.col("text")).alias("hint")),
+    "text_fence": lambda sp, d: _texts(sp, d).select("id", tx.is_fenced(F.col("text")).alias("fenced"), tx.fence_hint(F.col("text")).alias("hint")),
     "text_log_rule": _on(tx.looks_like_log),
     "text_classify": lambda sp, d: tx.classify(table(sp, d, "documents"), "text").groupBy("content_class").agg(F.count("*").alias("n")),
     "text_classify_events": lambda sp, d: tx.classify(table(sp, d, "events"), "props").groupBy("content_class").agg(F.count("*").alias("n")),
     "text_route": lambda sp, d: tx.classify(table(sp, d, "events"), "props").select("event_id", tx.engine(F.col("content_class")).alias("engine"), tx.prefilter(F.col("props"), F.col("content_class")).alias("looked_at")),
     "text_minified": lambda sp, d: table(sp, d, "pages").select("page_id", tx.is_minified(F.col("html")).alias("minified")),
-    "text_error_rule": lambda sp, d: _samples(sp).select("id", tx.looks_like_error(F.col("text")).alias("error"), tx.is_denial(F.col("text")).alias("denied")),
+    "text_error_rule": lambda sp, d: _texts(sp, d).select("id", tx.looks_like_error(F.col("text")).alias("error"), tx.is_denial(F.col("text")).alias("denied")),
     "text_command_prefix": _on(tx.command_prefix),
     "text_duration": _on(tx.duration_seconds),
-    "text_hunk_header": lambda sp, d: _samples(sp).select("id", *tx.hunk_header(F.col("text"))),
+    "text_hunk_header": lambda sp, d: _texts(sp, d).select("id", *tx.hunk_header(F.col("text"))),
     "text_rename": _on(tx.rename_target),
     "text_encoding": _on(tx.encoding_for_model),
     "text_edit_distance": lambda sp, d: sp.createDataFrame(_PAIRS, "a string, b string").select("a", "b", tx.bounded_levenshtein(F.col("a"), F.col("b")).alias("distance"), tx.path_only_difference(F.col("a"), F.col("b")).alias("path_only")),
@@ -73,7 +76,7 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-_S = "WITH s AS (SELECT unnest(range(0, %d))::INT AS id, unnest([%s]) AS text)" % (len(SAMPLES), ", ".join(_q(x) for x in SAMPLES))
+_S = "WITH s AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - event_id, props FROM events UNION ALL SELECT unnest(range(1000000000000, %d)), unnest([%s]))" % (10**12 + len(SAMPLES), ", ".join(_q(x) for x in SAMPLES))
 _P = "WITH p(a, b) AS (VALUES " + ", ".join(f"({_q(a)}, {_q(b)})" for a, b in _PAIRS) + ")"
 _EXT = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in tx.EXTENSIONS.items()) + "}"
 _INT = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in tx.INTERPRETERS.items()) + "}"
@@ -89,9 +92,11 @@ def _log(col: str) -> str:
 
 
 _LINES = r"string_split(regexp_replace(text, '\r?\n$', ''), chr(10))"
-_LOGS = r"""WITH raw AS (SELECT doc_id, unnest(range(0, len(l)))::INT AS pos, unnest(l) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
-), line AS (SELECT doc_id, pos, CASE WHEN pos % 3 = 0 THEN '2024-01-02T03:04:' || lpad((pos % 60)::VARCHAR, 2, '0') || 'Z ' ELSE '' END AS stamp, (['[INFO] ', 'ERROR: ', '', '[debug] '])[pos % 4 + 1] AS lv, substr(raw, 1, 2) AS body FROM raw WHERE pos < 40
-), e AS (SELECT doc_id, pos, CASE WHEN stamp <> '' THEN trim(stamp) END AS ts, (['INFO', 'ERROR', NULL, 'DEBUG'])[pos % 4 + 1] AS level, CASE WHEN lv = '' AND stamp = '' THEN body ELSE ltrim(body) END AS message FROM line WHERE regexp_matches(stamp || lv || body, '\S'))"""
+_LOGS = rf"""WITH raw AS (SELECT doc_id, unnest(range(0, len(l)))::INT AS pos, unnest(l) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+), line AS (SELECT doc_id, pos, CASE WHEN pos % 3 = 0 THEN '2024-01-02T03:04:' || lpad((pos % 60)::VARCHAR, 2, '0') || 'Z ' ELSE '' END || (['[INFO] ', 'ERROR: ', '', '[debug] '])[pos % 4 + 1] || raw AS line FROM raw
+), cut AS (SELECT doc_id, pos, trim(regexp_extract(line, '{lg.STAMP}')) AS ts, regexp_replace(line, '{lg.STAMP}', '') AS rest FROM line WHERE regexp_matches(line, '\S')
+), lv AS (SELECT *, upper(regexp_extract(rest, '{lg.LEVEL}', 1) || regexp_extract(rest, '{lg.LEVEL}', 2)) AS lv FROM cut
+), e AS (SELECT doc_id, pos, nullif(ts, '') AS ts, nullif(lv, '') AS level, CASE WHEN lv <> '' THEN regexp_extract(rest, '{lg.LEVEL}', 3) ELSE rest END AS message FROM lv)"""
 _DEDUP = " SELECT doc_id, min(pos) AS pos, level, min_by(message, pos) AS message, count(*) AS count, min_by(ts, pos) FILTER (ts IS NOT NULL) AS min_timestamp, max_by(ts, pos) FILTER (ts IS NOT NULL) AS max_timestamp FROM e"
 
 ORACLES = {

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brindle.functions.parsers import glob_regex
 from brindle.functions.text import is_minified, language_of_path, rename_target, skip_reason
 
-MAX_FILES = 100_000
-
 
 def parse_history_log(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(commits, changes) of log lines (source, line_no, line): ``COMMIT:hash|author|seconds|subject``, then numstat rows.
@@ -91,15 +92,46 @@ def lines_or_array(texts: DataFrame) -> DataFrame:
     return texts.select("session_id", F.posexplode(parts).alias("line_no", "line")).filter(F.col("line").rlike(r"\S"))
 
 
-def read_tree(spark: SparkSession, root: str, limit: int = MAX_FILES) -> DataFrame:
-    """path, content, lang, sha256, skip_reason of files below a folder that any Spark file system can list."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).orderBy("path").limit(limit)
+def read_tree(spark: SparkSession, root: str, globs: tuple[str, ...] = (), ignore: tuple[str, ...] = ()) -> DataFrame:
+    """path, content, lang, sha256, skip_reason of every file below a folder that any Spark file system can list.
+
+    ``globs``: only paths (below the folder) that one of them fits. ``ignore``: rules as in ignore files, in order; the last
+    one that fits decides, ``!`` takes back, a rule with a slash inside or before it is tied to the folder, one that ends
+    with a slash fits folders, and a file below an ignored folder is ignored. Ignored and hidden files are not read.
+    """
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    place = F.regexp_replace(F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), f"^{re.escape(top)}/", "")
+    raw = raw.withColumn("place", place).filter(~F.col("place").rlike(r"(^|/)\."))
+    if globs:
+        raw = raw.filter(F.col("place").rlike("|".join(map(glob_regex, globs))))
+    if ignore:
+        raw = raw.filter(~ignored(F.col("place"), ignore))
     rows = raw.select("path", "content", F.sha2("content", 256).alias("sha256"), F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"))
     text = F.when(F.col("utf8"), F.col("content").cast("string"))
     lang = language_of_path(F.col("path"))
     return rows.select("path", text.alias("content"), lang.alias("lang"), "sha256", F.coalesce(F.when(~F.col("utf8"), "not_utf8"), skip_reason(text, lang)).alias("skip_reason"))
 
 
+def ignored(path: Column, rules: tuple[str, ...]) -> Column:
+    """Whether ignore rules leave a path (relative, with slashes) out; see ``read_tree``. Blank rules and comments do nothing."""
+    out = F.lit(False)
+    for rule in rules:
+        body = rule.strip()
+        if not body or body.startswith("#"):
+            continue
+        back, body = body.startswith("!"), body.removeprefix("!")
+        folder, tied = body.endswith("/"), "/" in body.rstrip("/")
+        body = body.strip("/")
+        parts = re.split(r"(\*\*/|/\*\*$|\*\*|\*|\?)", body)
+        same = {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+        rx = "".join(same.get(p, re.escape(p)) for p in parts if p)
+        fits = path.rlike(("^" if tied else "(?:^|/)") + rx + ("/" if folder else "(?:/|$)"))
+        out = F.when(fits, F.lit(not back)).otherwise(out)
+    return out
+
+
 def changed_files(now: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files whose (path, sha256) the manifest lacks: what an incremental refresh reads again."""
     return now.join(manifest.select("path", "sha256"), ["path", "sha256"], "left_anti")
