@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 from decimal import Decimal
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -14,36 +16,19 @@ from brindle.functions.text import strict_json
 MAX_DEPTH, MAX_KEYS = 500, 10_000
 
 
+_STRING = r'"(?:[^"\\]|\\.)*"'
+_TOKEN = re.compile(_STRING + r"|[ \t\r\n]+", re.S)
+_WORDS = re.compile(_STRING, re.S)
+
+
 def minify(text: str | None) -> str | None:
     """The text without blanks outside strings; as it is where it is not strict JSON, too deep or wide, or not shortened."""
     if text is None or not strict_json(text):
         return text
-    out, start, quoted, depth, keys, i = [], 0, False, 0, 0, 0
-    while i < len(text):
-        c = text[i]
-        if quoted:
-            if c == "\\":
-                i += 1
-            elif c == '"':
-                quoted = False
-        elif c == '"':
-            quoted = True
-        elif c in " \t\r\n":
-            out.append(text[start:i])
-            start = i + 1
-        elif c in "{[":
-            depth += 1
-            if depth > MAX_DEPTH:
-                return text
-        elif c in "}]":
-            depth -= 1
-        elif c == ":":
-            keys += 1
-            if keys > MAX_KEYS:
-                return text
-        i += 1
-    new = "".join(out) + text[start:]
-    return new if len(new) < len(text) else text
+    new = _TOKEN.sub(lambda m: m[0] if m[0][0] == '"' else "", text)
+    marks = _WORDS.sub("", new)
+    depth = list(accumulate(1 if c in "{[" else -1 for c in marks if c in "{[]}"))
+    return text if max(depth) > MAX_DEPTH or marks.count(":") > MAX_KEYS or len(new) >= len(text) else new
 
 
 def structure(text: str | None) -> str | None:
@@ -91,6 +76,31 @@ def equal(a: str | None, b: str | None) -> bool | None:
         return False
 
 
+class _Number(str):
+    """A number as it is written."""
+
+
+def equal_raw(a: str | None, b: str | None, work: int = 100_000) -> bool | None:
+    """As ``equal``, but numbers are the same only if they are written alike, and more than ``work`` values (or repeated keys) are
+    taken as different; null if either is."""
+    if a is None or b is None:
+        return None
+    left = work
+
+    def once(pairs):
+        nonlocal left
+        left -= len(pairs) + 1
+        if left < 0 or len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError("too much, or a repeated key")
+        return dict(pairs)
+
+    try:
+        x, y = (json.loads(t, object_pairs_hook=once, parse_float=_Number, parse_int=_Number, parse_constant=_Number) for t in (a, b))
+        return _canonical(x, 0) == _canonical(y, 0)
+    except (ValueError, RecursionError):
+        return False
+
+
 def _canonical(v, depth):
     if depth > 64:
         raise RecursionError
@@ -114,3 +124,8 @@ def structure_column(s: pd.Series) -> pd.Series:
 @F.pandas_udf(BooleanType())
 def equal_columns(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([equal(x, y) for x, y in zip(a, b, strict=True)])
+
+
+@F.pandas_udf(BooleanType())
+def equal_raw_columns(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([equal_raw(x, y) for x, y in zip(a, b, strict=True)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STAMP = r"^\[?\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?\]?\s*"
@@ -14,14 +14,14 @@ def strip_stamp(line: Column) -> Column:
     return F.regexp_replace(line, STAMP, "")
 
 
-def entries(lines: DataFrame) -> DataFrame:
-    """doc_id, pos, ts, level, message of every line that is not blank (columns doc_id, pos, line)."""
+def entries(lines: DataFrame, *carry: str) -> DataFrame:
+    """doc_id, pos, ts, level, message (and ``carry``) of every line that is not blank (columns doc_id, pos, line)."""
     rest = strip_stamp(F.col("line"))
     level = F.upper(F.concat(F.regexp_extract(rest, LEVEL, 1), F.regexp_extract(rest, LEVEL, 2)))
     stamp = F.trim(F.regexp_extract(F.col("line"), STAMP, 0))
     return lines.filter(F.col("line").rlike(r"\S")).select(
         "doc_id", "pos", F.when(stamp != "", stamp).alias("ts"), F.when(level != "", level).alias("level"),
-        F.when(level != "", F.regexp_extract(rest, LEVEL, 3)).otherwise(rest).alias("message"),
+        F.when(level != "", F.regexp_extract(rest, LEVEL, 3)).otherwise(rest).alias("message"), *carry,
     )
 
 
@@ -60,13 +60,73 @@ def json_message(line: Column) -> Column:
 
 
 def group_issues(issues: DataFrame) -> DataFrame:
-    """Lint issues (pos, rule, severity, file, line) by rule: count, the first one's severity, places in input order."""
-    place = F.struct("pos", F.concat_ws(":", "file", F.col("line").cast("string")).alias("at"))
-    out = issues.groupBy("rule").agg(F.count("*").alias("count"), F.min_by("severity", "pos").alias("severity"), F.sort_array(F.collect_list(place)).alias("p"))
-    return out.select("rule", "count", "severity", F.col("p.at").alias("places")).orderBy("rule")
+    """Lint issues (pos, rule, severity, file, line) by rule: count, the first one's severity and place, and the number of files.
+
+    Aggregated before the shuffle; the places themselves are ``issue_places``, rows and not an array in one task.
+    """
+    place = F.concat_ws(":", "file", F.col("line").cast("string"))
+    out = issues.groupBy("rule").agg(F.count("*").alias("count"), F.min_by("severity", "pos").alias("severity"), F.min_by(place, "pos").alias("first"), F.count_distinct("file").alias("files"))
+    return out.orderBy("rule")
+
+
+def issue_places(issues: DataFrame) -> DataFrame:
+    """rule, pos, place of every issue, in input order by rule."""
+    return issues.select("rule", "pos", F.concat_ws(":", "file", F.col("line").cast("string")).alias("place")).orderBy("rule", "pos")
 
 
 def last_frames(frames: DataFrame, keep: int = 3) -> DataFrame:
-    """Stack frames (doc_id, entry, pos, frame): the last ``keep`` of each entry and how many were left out."""
-    ordered = frames.groupBy("doc_id", "entry").agg(F.sort_array(F.collect_list(F.struct("pos", "frame"))).alias("f"))
-    return ordered.select("doc_id", "entry", F.slice(F.col("f.frame"), F.greatest(F.size("f") - keep + 1, F.lit(1)), keep).alias("frames"), F.greatest(F.size("f") - keep, F.lit(0)).alias("elided"))
+    """Stack frames (doc_id, entry, pos, frame): the last ``keep`` of each entry and how many were left out. Only kept ones are gathered."""
+    back = F.row_number().over(Window.partitionBy("doc_id", "entry").orderBy(F.desc("pos")))
+    kept = F.sort_array(F.collect_list(F.when(F.col("back") <= keep, F.struct("pos", "frame"))))
+    out = frames.withColumn("back", back).groupBy("doc_id", "entry").agg(kept.alias("f"), F.count_if(F.col("back") > keep).alias("elided"))
+    return out.select("doc_id", "entry", F.col("f.frame").alias("frames"), F.col("elided").cast("int").alias("elided"))
+
+
+FRAME = r"^\s+(?:at\s|File\s+\")"
+
+
+def structured(docs: DataFrame) -> DataFrame:
+    """doc_id, tier, pos, ts, level, message, elided of whole logs (doc_id, text), one row an entry.
+
+    tier full: the first line with words is JSON, and each line gives its level and message (lines that are no JSON stay
+    as they are). degraded: some line has a time, a level or is a stack frame; frames go to the entry before them, the last
+    three of each. passthrough: nothing of that; one row with the whole text. Null texts have no row.
+    """
+    lines = docs.filter("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\r?\n")).alias("pos", "line")).filter(F.col("line").rlike(r"\S"))
+    first = lines.groupBy("doc_id").agg(F.min_by("line", "pos").alias("first")).select("doc_id", F.try_parse_json("first").isNotNull().alias("json"))
+    lines = lines.join(first, "doc_id").withColumn("frame", F.col("line").rlike(FRAME))
+    is_json = F.try_parse_json("line").isNotNull()
+    full = lines.filter("json").select("doc_id", F.lit("full").alias("tier"), "pos", F.lit(None).cast("string").alias("ts"), F.when(is_json, json_level(F.col("line"))).alias("level"), F.coalesce(F.when(is_json, json_message(F.col("line"))), F.trim("line")).alias("message"), F.lit(0).alias("elided"))
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    rest = lines.filter("NOT json").withColumn("entry", F.count_if(~F.col("frame")).over(order))
+    said = entries(rest.filter("NOT frame").select("doc_id", "pos", "line", "entry"), "entry")
+    known = rest.groupBy("doc_id").agg(F.max("frame").alias("framed")).join(said.groupBy("doc_id").agg(F.max(F.coalesce("ts", "level").isNotNull()).alias("said")), "doc_id", "left")
+    known = known.select("doc_id", (F.col("framed") | F.coalesce("said", F.lit(False))).alias("known"))
+    frames = last_frames(rest.filter("frame AND entry > 0").select("doc_id", "entry", "pos", F.trim("line").alias("frame")))
+    joined = said.join(known.filter("known").select("doc_id"), "doc_id", "left_semi").join(frames, ["doc_id", "entry"], "left")
+    message = F.concat_ws("\n", "message", F.array_join("frames", "\n"))
+    degraded = joined.select("doc_id", F.lit("degraded").alias("tier"), "pos", "ts", "level", F.when(F.col("frames").isNotNull(), message).otherwise(F.col("message")).alias("message"), F.coalesce("elided", F.lit(0)).alias("elided"))
+    plain = docs.filter("text IS NOT NULL").join(known.filter("known").select("doc_id").unionByName(first.filter("json").select("doc_id")), "doc_id", "left_anti")
+    none = F.lit(None).cast("string")
+    passed = plain.select("doc_id", F.lit("passthrough").alias("tier"), F.lit(0).alias("pos"), none.alias("ts"), none.alias("level"), F.col("text").alias("message"), F.lit(0).alias("elided"))
+    return full.unionByName(degraded).unionByName(passed)
+
+
+def compress(docs: DataFrame, lossless: bool = False, keep_debug: bool = False) -> DataFrame:
+    """doc_id, tier, pos, level, message, count, min_timestamp, max_timestamp: logs with each (level, message) once.
+
+    ``lossless``: what would lose words passes through whole instead: JSON logs, and logs with more than three frames at an
+    entry; messages are compared with case and debug lines stay.
+    """
+    rows = structured(docs)
+    if lossless:
+        lost = rows.filter((F.col("tier") == "full") | (F.col("elided") > 0)).select("doc_id").distinct()
+        none = F.lit(None).cast("string")
+        whole = docs.join(lost, "doc_id", "left_semi").select("doc_id", F.lit("passthrough").alias("tier"), F.lit(0).alias("pos"), none.alias("ts"), none.alias("level"), F.col("text").alias("message"), F.lit(0).alias("elided"))
+        rows = rows.join(lost, "doc_id", "left_anti").unionByName(whole)
+    tiers = rows.select("doc_id", "tier").distinct()
+    passed = F.col("tier") == "passthrough"
+    merged = deduplicate(rows.filter(~passed), lossless, keep_debug or lossless).join(tiers, "doc_id")
+    none = F.lit(None).cast("string")
+    whole = rows.filter(passed).select("doc_id", "tier", "pos", "level", "message", F.lit(1).cast("bigint").alias("count"), none.alias("min_timestamp"), none.alias("max_timestamp"))
+    return merged.select("doc_id", "tier", "pos", "level", "message", "count", "min_timestamp", "max_timestamp").unionByName(whole)

@@ -134,3 +134,29 @@ def match_rewrites(commands: DataFrame, rules: list[tuple[str, str, tuple[str, .
         value = F.when(~F.arrays_overlap(rest, F.array(*map(F.lit, excluded))), new) if excluded else new
         out = F.when(fits, value) if out is None else out.when(fits, value)
     return commands.select("cmd_id", env.alias("env"), words.alias("w")).select("cmd_id", (out if out is not None else F.lit(None).cast("string")).alias("rewritten"))
+
+
+def classify_commands(commands: DataFrame, rules: list[tuple[str, str, tuple[str, ...]]], compact: tuple[str, ...] = (), own: tuple[str, ...] = ()) -> DataFrame:
+    """cmd_id, kind, rewritten of commands (cmd_id, command): rewritten where a rule gives a new command, already_compact where
+    every segment begins with one of the ``compact`` prefixes, else unhandled.
+
+    Compound commands are taken apart: segments that a rule knows are replaced where they stand, the rest stays. Blank
+    commands, those of our ``own`` tools and those that can't be taken apart or put together again byte by byte (line
+    breaks, substitutions, runs of blanks) are unhandled.
+    """
+    from brindle.functions.shell import split_column
+
+    whole = commands.select("cmd_id", F.trim("command").alias("command"))
+    safe = whole.filter(F.col("command").isNotNull() & (F.col("command") != "") & ~F.col("command").rlike(r"[\n\r\t]| {2}|[`]|\$[({]|<<") & ~F.col("command").rlike(f"^(?:{'|'.join(map(re.escape, own)) or '(?!)'})(?: |$)"))
+    parts = safe.select("cmd_id", F.posexplode(split_column(F.col("command"))).alias("pos", "s")).select("cmd_id", "pos", "s.command", "s.operator", "s.redirects")
+    key = F.concat_ws("|", F.col("cmd_id").cast("string"), F.col("pos").cast("string"))
+    found = match_rewrites(parts.select(key.alias("cmd_id"), "command"), rules).withColumnRenamed("cmd_id", "part")
+    rows = parts.withColumn("part", key).join(found, "part")
+    known = F.lit(False)
+    for prefix in compact:
+        known = known | (F.col("command") == prefix) | F.col("command").startswith(f"{prefix} ")
+    text = F.concat_ws(" ", F.coalesce("rewritten", "command"), F.array_join("redirects", " "))
+    text = F.concat(F.rtrim(text), F.when(F.col("operator") == ";", "; ").when(F.col("operator").isNotNull(), F.concat(F.lit(" "), F.col("operator"), F.lit(" "))).otherwise(""))
+    each = rows.groupBy("cmd_id").agg(F.max(F.col("rewritten").isNotNull()).alias("new"), F.min(known).alias("compact"), F.sort_array(F.collect_list(F.struct("pos", text.alias("text")))).alias("l"))
+    kind = F.when(F.col("new"), "rewritten").when(F.col("compact"), "already_compact").otherwise("unhandled")
+    return whole.select("cmd_id").join(each, "cmd_id", "left").select("cmd_id", kind.alias("kind"), F.when(F.col("new"), F.array_join("l.text", "")).alias("rewritten"))

@@ -185,3 +185,15 @@ def field_map_column(text: Column, lang: Column) -> Column:
         return pd.Series([[{"start": a, "end": b, "field": FIELDS.index(f)} for a, b, f in field_map(x, y)] for x, y in zip(t, l, strict=True)], dtype=object)
 
     return run(text, lang)
+
+
+def encode_field_map(ranges: Column) -> Column:
+    """A field map (array of start, end, field) as a JSON array of triples."""
+    return F.to_json(F.transform(ranges, lambda r: F.array(r["start"].cast("int"), r["end"].cast("int"), r["field"].cast("int"))))
+
+
+def decode_field_map(text: Column) -> Column:
+    """The field map of such a text; null where a triple is not whole or a range ends before it begins."""
+    rows = F.from_json(text, "array<array<int>>")
+    good = F.forall(rows, lambda r: F.coalesce((F.size(r) == 3) & (r[0] <= r[1]) & r[2].isNotNull(), F.lit(False)))
+    return F.when(good, F.transform(rows, lambda r: F.struct(r[0].alias("start"), r[1].alias("end"), r[2].alias("field"))))

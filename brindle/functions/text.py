@@ -269,3 +269,10 @@ def hunk_header(line: Column) -> list[Column]:
 def rename_target(path: Column) -> Column:
     """``pre{old => new}post`` becomes ``prenewpost``."""
     return F.regexp_replace(path, r"^([^{]*)\{.* => (.*)\}(.*)$", "$1$2$3")
+
+
+def line_range(lines: Column) -> Column:
+    """From the first to behind the last of some line numbers (from 1); without any, 0 to 0."""
+    some = F.size(lines) > 0
+    end = lambda c, more: F.when(F.coalesce(some, F.lit(False)), c + more).otherwise(0).cast("int")
+    return F.struct(end(F.array_min(lines), 0).alias("start"), end(F.array_max(lines), 1).alias("end"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from brindle.functions import text as tx
-from brindle.functions.json_tools import minify
+from brindle.functions.json_tools import equal_raw, minify
 
 # Beginnings of model names that mark one of the two body layouts.
 OPENAI_MODELS = "^(gpt-|o1-|o3-|o4-|text-davinci|davinci)"
@@ -42,21 +42,29 @@ def text_blocks(bodies: DataFrame) -> DataFrame:
 
 
 def reduce_mixed(text: str) -> str:
-    """``json`` fences without blanks; every other byte as it is."""
+    """``json`` fences without blanks where that means the same value for value; every other byte as it is."""
     def one(m: re.Match) -> str:
-        body = m[2]
-        end = body[len(body.rstrip("\r\n")) :]
-        return m[1] + minify(body.rstrip("\r\n")) + end + m[3]
+        body = m[2].rstrip("\r\n")
+        new = minify(body)
+        return m[1] + (new if new != body and equal_raw(body, new) else body) + m[2][len(body) :] + m[3]
 
     return _FENCE.sub(one, text)
 
 
 def reduce_log(text: str) -> str:
-    """Lines that differ in their stamps only are given once, where they first stand, with their number."""
-    seen: dict[str, list] = {}
+    """Runs of lines that differ in their stamps only are given once, with their number and the last stamp.
+
+    Lines stay in their order, and lines of different levels or words never join, so nothing but repeated words goes.
+    """
+    out: list[list] = []  # words, first line, number, last stamp
     for line in text.split("\n"):
-        seen.setdefault(_STAMP.sub("", line), [line, 0])[1] += 1
-    return "\n".join(line if n == 1 else f"{line} (x{n})" for line, n in seen.values())
+        stamp = m[0].strip() if (m := _STAMP.match(line)) else ""
+        words = line[m.end() :] if m else line
+        if out and out[-1][0] == words and words.strip() and bool(stamp) == bool(out[-1][3]):
+            out[-1][2:] = [out[-1][2] + 1, stamp]
+        else:
+            out.append([words, line, 1, stamp])
+    return "\n".join(line if n == 1 else f"{line} (x{n}{f', last {stamp}' if stamp else ''})" for _, line, n, stamp in out)
 
 
 def route(blocks: DataFrame) -> DataFrame:

@@ -243,6 +243,11 @@ def missing(targets: DataFrame, touches: DataFrame) -> DataFrame:
     return targets.join(touches.select("path"), "path", "left_anti")
 
 
+def resolve_partners(found: DataFrame, files: DataFrame) -> DataFrame:
+    """file_id, partner, count, jaccard of partners that are among indexed files (path, file_id); others go."""
+    return found.join(files.select(F.col("path").alias("partner"), "file_id"), "partner").select("file_id", "partner", "count", "jaccard")
+
+
 def resort_partners(found: DataFrame, scores: DataFrame, limit: int = 20) -> DataFrame:
     """The max(5 * limit, 100) most similar partners ordered by their own score (missing: 0), similarity next."""
     first = found.orderBy(F.desc("jaccard"), "partner").limit(max(5 * limit, 100))

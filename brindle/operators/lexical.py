@@ -167,6 +167,12 @@ def selectivity(queries: DataFrame, weights: DataFrame) -> DataFrame:
     return hits.groupBy(F.col("doc_id").alias("query")).agg(F.round(F.sum(F.coalesce("idf", F.lit(0.0))), 6).alias("selectivity"))
 
 
+def distinct_ngrams(queries: DataFrame, weights: DataFrame) -> DataFrame:
+    """query, key, weight of queries (query): each of a query's distinct bigrams with its largest idf, 0 for unknown ones."""
+    rows = bigram_positions(queries.select(F.col("query").alias("doc_id"), F.col("query").alias("content")))
+    return rows.join(weights.select("key", "idf"), "key", "left").groupBy(F.col("doc_id").alias("query"), "key").agg(F.max(F.coalesce("idf", F.lit(0.0))).alias("weight"))
+
+
 def term_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("key", "doc_id").agg(*(F.count_if(F.col("field") == f).alias(f"tf_{f}") for f in range(8)))
 

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.text import bounded_levenshtein, command_prefix, is_denial, looks_like_error, path_only_difference, trimmed
+from brindle.functions.parsers import match_rewrites
+from brindle.functions.text import bounded_levenshtein, command_prefix, is_denial, language_of_path, looks_like_error, path_only_difference, trimmed
 
 LOOKAHEAD, TDD_LOOKAHEAD = 5, 10
 
@@ -66,3 +67,24 @@ def discover(calls: DataFrame, share: float = 0.7) -> DataFrame:
     """Calls by command prefix: how many, tokens of their results (a quarter of the bytes), and what reduction might save."""
     tokens = F.floor(F.coalesce(F.octet_length("result"), F.lit(0)) / 4)
     return calls.groupBy(command_prefix(F.col("command"), 1).alias("command")).agg(F.count("*").alias("calls"), F.sum(tokens).alias("tokens"), F.sum(F.floor(tokens * share)).alias("potential")).orderBy(F.desc("calls"), "command")
+
+
+# Names of calls that read a file, and that run a command.
+READS, SHELLS = ("Read", "read_file"), ("Bash", "bash", "shell")
+
+
+def discover_reads(calls: DataFrame, share: float = 0.7) -> DataFrame:
+    """One row: calls, file reads, code reads (of a language that is known by its path), tokens of all reads (a quarter of their
+    bytes), and what shorter modes might save of the code that was read."""
+    read = F.col("tool").isin(*READS)
+    code = read & F.coalesce(language_of_path(F.col("command")).isNotNull(), F.lit(False))
+    tokens = F.floor(F.coalesce(F.octet_length("result"), F.lit(0)) / 4)
+    return calls.agg(F.count("*").alias("calls"), F.count_if(read).alias("reads"), F.count_if(code).alias("code_reads"), F.coalesce(F.sum(F.when(read, tokens)), F.lit(0)).alias("read_tokens"), F.coalesce(F.sum(F.when(code, F.floor(tokens * share))), F.lit(0)).alias("potential"))
+
+
+def unhandled_commands(calls: DataFrame, rules: list[tuple[str, str, tuple[str, ...]]]) -> DataFrame:
+    """prefix (three words), n of shell calls that no rewrite rule knows, the most frequent first."""
+    runs = calls.filter(F.col("tool").isin(*SHELLS)).select(F.struct("session_id", "seq").alias("cmd_id"), "command")
+    left = runs.join(match_rewrites(runs, rules).filter("rewritten IS NOT NULL").select("cmd_id"), "cmd_id", "left_anti")
+    prefix = command_prefix(F.col("command"))
+    return left.filter(prefix != "").groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "prefix")

@@ -68,7 +68,7 @@ QUERIES = {
     "log_deduplicate": lambda sp, d: lg.deduplicate(lg.entries(_log_lines(sp, d))),
     "log_deduplicate_lossless": lambda sp, d: lg.deduplicate(lg.entries(_log_lines(sp, d)), lossless=True, keep_debug=True),
     "log_totals": lambda sp, d: lg.totals(lg.entries(_log_lines(sp, d))),
-    "lint_groups": lambda sp, d: lg.group_issues(table(sp, d, "events").select(F.col("event_id").alias("pos"), F.col("event_type").alias("rule"), F.when(F.col("event_id") % 3 == 0, "error").otherwise("warning").alias("severity"), F.col("user_id").cast("string").alias("file"), (F.col("event_id") % 100).alias("line"))).select("rule", "count", "severity", F.size("places").alias("n"), F.element_at("places", 1).alias("first")),
+    "lint_groups": lambda sp, d: lg.group_issues(table(sp, d, "events").select(F.col("event_id").alias("pos"), F.col("event_type").alias("rule"), F.when(F.col("event_id") % 3 == 0, "error").otherwise("warning").alias("severity"), F.col("user_id").cast("string").alias("file"), (F.col("event_id") % 100).alias("line"))),
 }
 
 
@@ -126,5 +126,5 @@ ORACLES = {
     "log_deduplicate": _LOGS + _DEDUP + " WHERE coalesce(level, '') <> 'DEBUG' GROUP BY doc_id, level, lower(e.message)",
     "log_deduplicate_lossless": _LOGS + _DEDUP + " GROUP BY doc_id, level, e.message",
     "log_totals": _LOGS + ", t AS (SELECT doc_id, count(*) AS total, count(*) FILTER (level = 'DEBUG') AS hidden, count(DISTINCT coalesce(level, '') || '|' || lower(message)) FILTER (coalesce(level, '') <> 'DEBUG') AS unique_entries FROM e GROUP BY doc_id) SELECT *, greatest(total - unique_entries - hidden, 0) AS duplicates FROM t",
-    "lint_groups": "SELECT event_type AS rule, count(*) AS count, min_by(CASE WHEN event_id % 3 = 0 THEN 'error' ELSE 'warning' END, event_id) AS severity, count(*) AS n, min_by(user_id || ':' || (event_id % 100), event_id) AS first FROM events GROUP BY 1",
+    "lint_groups": "SELECT event_type AS rule, count(*) AS count, min_by(CASE WHEN event_id % 3 = 0 THEN 'error' ELSE 'warning' END, event_id) AS severity, count(DISTINCT user_id) AS files, min_by(user_id || ':' || (event_id % 100), event_id) AS first FROM events GROUP BY 1",
 }

@@ -31,12 +31,17 @@ def parse_history_log(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 CONTENT = "array<struct<type:string,id:string,name:string,input:string,tool_use_id:string,content:string,is_error:boolean>>"
 
 
+def parse_sessions_blocks(lines: DataFrame) -> DataFrame:
+    """The content blocks of message lines, numbered within their line."""
+    return lines.select("session_id", "line_no", F.posexplode(F.from_json(F.get_json_object("line", "$.message.content"), CONTENT)).alias("k", "b")).select("session_id", "line_no", "k", "b.*")
+
+
 def parse_sessions(lines: DataFrame) -> DataFrame:
     """session_id, seq, tool, command, is_error, result of transcript lines (session_id, line_no, line), one JSON each.
 
     Calls are joined to later results by id; malformed lines and results without a call are left out.
     """
-    blocks = lines.select("session_id", "line_no", F.posexplode(F.from_json(F.get_json_object("line", "$.message.content"), CONTENT)).alias("k", "b")).select("session_id", "line_no", "k", "b.*")
+    blocks = parse_sessions_blocks(lines)
     flat = lines.filter(F.get_json_object("line", "$.type").isin("tool_use", "tool_result")).select(
         "session_id", "line_no", F.lit(0).alias("k"), F.get_json_object("line", "$.type").alias("type"), F.get_json_object("line", "$.id").alias("id"), F.get_json_object("line", "$.tool").alias("name"),
         F.get_json_object("line", "$.args").alias("input"), F.get_json_object("line", "$.tool_use_id").alias("tool_use_id"), F.get_json_object("line", "$.content").alias("content"), F.get_json_object("line", "$.is_error").try_cast("boolean").alias("is_error"),
@@ -48,6 +53,14 @@ def parse_sessions(lines: DataFrame) -> DataFrame:
     return uses.withColumn("seq", seq).join(results, ["session_id", "id"], "left").select("session_id", "seq", "tool", "command", "is_error", "result")
 
 
+def parse_call_sessions(lines: DataFrame) -> DataFrame:
+    """As ``parse_sessions``, for transcripts whose lines hold blocks of which the first call counts, and whose results are not kept."""
+    every = parse_sessions_blocks(lines).filter("type = 'tool_use'")
+    uses = every.withColumn("n", F.row_number().over(Window.partitionBy("session_id", "line_no").orderBy("k"))).filter("n = 1")
+    none = lines.limit(0).select("session_id", "line_no", F.lit("").alias("id"), F.lit("").alias("result"), F.lit(False).alias("is_error"))
+    return _join_results(uses.select("session_id", "line_no", "k", "id", F.col("name").alias("tool"), "input"), none)
+
+
 FLAT_LAYOUTS = {
     # By layout, event type and fields of calls, then of results: id, name, arguments; id, content, error.
     "codex": (("codex.tool_decision", "tool_decision_id", "tool", "args"), ("codex.tool_result", "tool_decision_id", "result.content", "result.is_error")),

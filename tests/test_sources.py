@@ -84,7 +84,7 @@ def test_chat_bodies(spark):
     rows = {(r.request_id, r.block_no): r for r in chat.route(chat.text_blocks(df)).collect()}
     assert set(rows) == {(0, 0), (1, 0), (1, 1), (2, 0)} and rows[1, 0].text_out == '{"a":[1,2,3]}'
     assert rows[1, 1].text_out == 'see\n```json\n{"a":[1,2,3]}\n```\nend' and rows[2, 0].text_out == "[1, 2] is a list" and rows[0, 0].reason == "no_engine"
-    assert chat.reduce_log("2024-01-02 03:04:05 a\nb\n2024-01-02 03:04:06 a") == "2024-01-02 03:04:05 a (x2)\nb"
+    assert chat.reduce_log("2024-01-02 03:04:05 a\n2024-01-02 03:04:07 a\nb\n2024-01-02 03:04:09 a\nERROR: x\nWARN: x\nWARN: x") == "2024-01-02 03:04:05 a (x2, last 2024-01-02 03:04:07)\nb\n2024-01-02 03:04:09 a\nERROR: x\nWARN: x (x2)"
 
 
 def test_markers(spark):
