@@ -210,3 +210,70 @@ def file_results(outputs: DataFrame) -> DataFrame:
     folders = F.coalesce(_num(r"(\d+) director(?:y|ies)"), F.when(listing, F.coalesce(F.regexp_count(_text(), F.lit(r"(?m)^d[rwx-]{9}")), F.lit(0)).cast("bigint")))
     files = F.coalesce(_num(r"(?m), (\d+) files?$"), F.when(listing, F.coalesce(F.regexp_count(_text(), F.lit(r"(?m)^-[rwx-]{9}")), F.lit(0)).cast("bigint")))
     return outputs.select("doc_id", "tool", n.alias("entries"), folders.alias("folders"), files.alias("files"), "text")
+
+
+def _first(rx: str, i: int = 1) -> Column:
+    return F.nullif(F.regexp_extract(_text(), rx, i), F.lit(""))
+
+
+def _every(rx: str, i: int = 1) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(_text(), F.lit("")), F.lit(rx), F.lit(i)))
+
+
+def _count_of(rx: str) -> Column:
+    return F.coalesce(F.regexp_count(_text(), F.lit(rx)), F.lit(0)).cast("bigint")
+
+
+def _tier(known: Column) -> Column:
+    return F.when(F.coalesce(known, F.lit(False)), "full").otherwise("passthrough").alias("tier")
+
+
+def script_results(outputs: DataFrame) -> DataFrame:
+    """doc_id, package, script, success, exit_code, errors, tier of package scripts: the header's package and script, and how it ended."""
+    head = r"(?m)^> (\S+@\S+) (\S+)\s*$"
+    code = F.coalesce(_num(r"(?m)Exit status (\d+)"), _num(r"(?m)exit(?:ed with)? code:? (\d+)"))
+    failed = _text().rlike(r"(?m)^(npm ERR!|npm error|\s*ELIFECYCLE|error Command failed)")
+    return outputs.select("doc_id", _first(head).alias("package"), _first(head, 2).alias("script"), (~(failed | F.coalesce(code > 0, F.lit(False)))).alias("success"), code.alias("exit_code"), _count_of(r"(?mi)^(?:npm ERR!|npm error|(?!> ).*\berror\b)").alias("errors"), _tier(_first(head).isNotNull()))
+
+
+def image_builds(outputs: DataFrame) -> DataFrame:
+    """doc_id, steps, cached, image, success, tier of image builds in both progress layouts."""
+    steps = F.coalesce(_num(r"(?m)^#\d+ \[(?:[\w-]+ )?\d+/(\d+)\]"), _num(r"(?m)^Step \d+/(\d+) :"))
+    cached = _count_of(r"(?m)^#\d+ CACHED|^ ---> Using cache")
+    image = F.coalesce(_first(r"writing image (sha256:[0-9a-f]+)"), _first(r"Successfully built ([0-9a-f]+)"))
+    failed = _text().rlike(r"(?m)^#\d+ ERROR|^ERROR: failed|returned a non-zero code")
+    return outputs.select("doc_id", steps.alias("steps"), cached.alias("cached"), image.alias("image"), (~failed).alias("success"), _tier(steps.isNotNull() | image.isNotNull()))
+
+
+def name_lookups(outputs: DataFrame) -> DataFrame:
+    """doc_id, server, names, addresses, error, tier of name server lookups; the server's own address is none of the answer's."""
+    answer = r"(?m)^Name:\s*(\S+)\s*\nAddress:\s*(\S+)\s*$"
+    server, error = _first(r"(?m)^Server:\s*(\S+)"), _first(r"(?m)^\*\* server can't find \S+: (\w+)")
+    return outputs.select("doc_id", server.alias("server"), _every(answer).alias("names"), _every(answer, 2).alias("addresses"), error.alias("error"), _tier(server.isNotNull()))
+
+
+def downloads(outputs: DataFrame) -> DataFrame:
+    """doc_id, url, status, bytes, file, success, tier of downloads; the status is that of the last answer."""
+    codes = F.regexp_extract_all(F.coalesce(_text(), F.lit("")), F.lit(r"awaiting response\.\.\. (\d{3})"), F.lit(1))
+    saved = r"['‘]([^'’]+)['’] saved \[(\d+)"
+    url = _first(r"(?m)^--\S.*?(https?://\S+)")
+    return outputs.select("doc_id", url.alias("url"), F.try_element_at(codes, F.lit(-1)).cast("bigint").alias("status"), _first(saved, 2).cast("bigint").alias("bytes"), _first(saved).alias("file"), _first(saved).isNotNull().alias("success"), _tier(url.isNotNull()))
+
+
+def descriptions(outputs: DataFrame) -> DataFrame:
+    """doc_id, name, namespace, status, normal, warnings, tier of described resources, with their events counted by type."""
+    key = lambda k: _first(rf"(?m)^{k}:[ \t]+(\S.*?)\s*$")
+    return outputs.select("doc_id", key("Name").alias("name"), key("Namespace").alias("namespace"), key("Status").alias("status"), _count_of(r"(?m)^\s+Normal\s+\S").alias("normal"), _count_of(r"(?m)^\s+Warning\s+\S").alias("warnings"), _tier(key("Name").isNotNull()))
+
+
+def check_runs(outputs: DataFrame) -> DataFrame:
+    """doc_id, passed, failed, pending, skipped, failing, tier of lists of checks (name, state, time, address by tabs)."""
+    state = lambda w: _count_of(rf"(?m)^[^\t\n]+\t(?:{w})\t")
+    known = _count_of(r"(?m)^[^\t\n]+\t(?:pass|fail|pending|skipping)\t")
+    return outputs.select("doc_id", state("pass").alias("passed"), state("fail").alias("failed"), state("pending").alias("pending"), state("skipping").alias("skipped"), _every(r"(?m)^([^\t\n]+)\tfail\t").alias("failing"), _tier(known > 0))
+
+
+def diff_summary(body: DataFrame) -> DataFrame:
+    """doc_id, file, hunks, added, removed, text of diff body lines (as ``parsers.diff_lines`` gives them), one row a file."""
+    out = body.groupBy("doc_id", "file").agg(F.count_distinct("hunk").alias("hunks"), F.count_if(F.col("mark") == "+").alias("added"), F.count_if(F.col("mark") == "-").alias("removed"))
+    return out.withColumn("text", F.format_string("%s (+%d -%d, %d hunks)", "file", "added", "removed", "hunks"))

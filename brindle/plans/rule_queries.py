@@ -11,6 +11,7 @@ from brindle.functions import logs as lg
 from brindle.functions import parsers as p
 from brindle.functions import serde
 from brindle.functions import text as tx
+from brindle.functions import tool_outputs as to
 from brindle.operators import history as h
 from brindle.operators import lexical as lx
 from brindle.operators import sessions as ss
@@ -51,6 +52,12 @@ def _diffs(sp, d):
     return p.to_lines(e.selectExpr("i AS doc_id", f"{text} AS text"))
 
 
+def _status(sp, d):
+    """Lines of a porcelain status and of a one-line history, by event."""
+    text = r"concat('# branch.head ', t, '\n# branch.ab +', i % 5, ' -', i % 3, '\n1 M. N... 1 1 1 a b x\n', repeat('1 .M N... 1 1 1 a b y\n', cast(i % 4 as int)), repeat('? z\n', cast(i % 3 as int)), lpad(lower(hex(i)), 9, 'a'), ' ', t, ' subject')"
+    return p.to_lines(table(sp, d, "events").selectExpr("event_id AS i", "event_type AS t").selectExpr("i AS doc_id", f"{text} AS text"))
+
+
 def _budgeted(sp, d):
     return table(sp, d, "documents").select("doc_id", F.md5(tr.to_token_budget(F.col("text"), 120).cast("binary")).alias("out"))
 
@@ -154,7 +161,48 @@ def _codec(sp, d):
     return rows.select("doc_id", "triples", F.coalesce(serde.decode_field_map(F.col("triples")).cast("string") == F.col("field_map").cast("string"), F.lit(False)).alias("same"))
 
 
+def _spelt(sp, d, *tools: tuple[str, str]):
+    """doc_id, tool, text: one (tool, SQL over ``i`` = event_id and ``t`` = event_type) after another."""
+    pick = lambda k: "CASE i % " + str(len(tools)) + " " + " ".join(f"WHEN {n} THEN {x[k]}" for n, x in enumerate(tools)) + " END"
+    rows = [(f"'{name}'", text) for name, text in tools]
+    tools = tuple(rows)
+    return table(sp, d, "events").selectExpr("event_id AS i", "event_type AS t").selectExpr("i AS doc_id", f"{pick(0)} AS tool", f"{pick(1)} AS text")
+
+
+_MORE_TESTS = (
+    ("cargo", r"""concat(repeat('{"type":"test","event":"ok","name":"a"}\n', cast(i % 7 as int)), repeat('{"type":"test","event":"failed","name":"b"}\n', cast(i % 3 as int)), '{"type":"test","event":"ignored","name":"c"}')"""),
+    ("cypress", """concat('{"stats":{"passes":', i % 7, ',"failures":', i % 3, ',"pending":1,"duration":9}}')"""),
+    ("swift", """concat('Executed ', i % 7 + i % 3, ' tests, with ', i % 3, ' failures (0 unexpected) in 0.5 (0.6) seconds')"""),
+)
+_MORE_ISSUES = (
+    ("black", """concat('would reformat ', t, '.py')"""), ("prettier", """concat('[warn] src/', t, '.ts')"""), ("rustfmt", r"""concat('Diff in /x/', t, '.rs at line ', 1 + i % 50, ':\n-x')"""), ("dprint", """concat('from /x/', t, '.ts:')"""),
+    ("golangci", """concat('{"Issues":[{"FromLinter":"errcheck","Text":"m","Severity":"","Pos":{"Filename":"', t, '.go","Line":', 1 + i % 50, '}}]}')"""),
+    ("rubocop", """concat('{"files":[{"path":"', t, '.rb","offenses":[{"severity":"convention","message":"m","cop_name":"Style/X","location":{"line":', 1 + i % 50, '}}]}]}')"""),
+    ("swiftlint", """concat('[{"file":"', t, '.swift","line":', 1 + i % 50, ',"reason":"m","rule_id":"long","severity":"Warning"}]')"""),
+    ("oxlint", """concat('{"diagnostics":[{"filename":"', t, '.ts","message":"m","code":"no-x","severity":"error","labels":[{"span":{"line":', 1 + i % 50, '}}]}]}')"""),
+)
+_MAVEN = ("maven", r"""concat(repeat('[WARNING] w\n', cast(i % 4 as int)), repeat('[ERROR] /a/B.java:[3,4] bad\n', cast(i % 3 as int)), if(i % 3 = 0, '[INFO] BUILD SUCCESS', '[INFO] BUILD FAILURE'), '\n[INFO] Total time:  2.500 s')""")
+_SCRIPT = ("npm", r"""concat('> ', t, '@1.0.0 build\n> x\n', if(i % 3 = 0, concat('npm ERR! Exit status ', 1 + i % 5), 'fine'))""")
+_IMAGE = ("docker", r"""concat('#4 [1/', 2 + i % 5, '] FROM x\n', repeat('#4 CACHED\n', cast(i % 3 as int)), if(i % 4 = 0, '#5 ERROR: exit code: 1', concat('#7 writing image sha256:', lower(hex(i + 16)), ' done')))""")
+_NAMES = ("nslookup", r"""concat('Server:\t\t10.0.0.', i % 9, '\nAddress:\t10.0.0.1#53\n\n', if(i % 3 = 0, concat('** server can', chr(39), 't find ', t, '.org: NXDOMAIN'), concat('Name:\t', t, '.org\nAddress: 1.2.3.', i % 200)))""")
+_WGET = ("wget", r"""concat('--2024-01-02 03:04:05--  https://a.org/', t, '\nHTTP request sent, awaiting response... ', if(i % 3 = 0, '404 Not Found', concat('200 OK\nLength: ', i, ' (x) [text/html]\n', chr(39), t, chr(39), ' saved [', i, '/', i, ']')))""")
+_POD = ("kubectl", r"""concat('Name:   ', t, '\nNamespace:  n', i % 5, '\nStatus:   Running\nEvents:\n', repeat('  Normal  Pulled  x\n', cast(i % 3 as int)), repeat('  Warning  BackOff  y\n', cast(i % 4 as int)))""")
+_CHECKS = ("gh", r"""concat(repeat('build\tpass\t1m\tu\n', cast(i % 4 as int)), repeat(concat(t, '\tfail\t1m\tu\n'), cast(i % 3 as int)), 'late\tpending\t0\tu')""")
+
+
 QUERIES = {
+    "parse_more_tests": lambda sp, d: to.test_results(_spelt(sp, d, *_MORE_TESTS)).select("doc_id", "tool", "passed", "failed", "tier"),
+    "parse_more_issues": lambda sp, d: to.tool_issues(_spelt(sp, d, *_MORE_ISSUES)),
+    "parse_maven": lambda sp, d: to.build_results(_spelt(sp, d, _MAVEN)),
+    "parse_scripts": lambda sp, d: to.script_results(_spelt(sp, d, _SCRIPT)),
+    "parse_image_builds": lambda sp, d: to.image_builds(_spelt(sp, d, _IMAGE)),
+    "parse_name_lookups": lambda sp, d: to.name_lookups(_spelt(sp, d, _NAMES)).withColumn("names", F.array_join("names", ",")).withColumn("addresses", F.array_join("addresses", ",")),
+    "parse_downloads": lambda sp, d: to.downloads(_spelt(sp, d, _WGET)),
+    "parse_descriptions": lambda sp, d: to.descriptions(_spelt(sp, d, _POD)),
+    "parse_check_runs": lambda sp, d: to.check_runs(_spelt(sp, d, _CHECKS)).withColumn("failing", F.array_join("failing", ",")),
+    "parse_diff_summary": lambda sp, d: to.diff_summary(p.diff_lines(_diffs(sp, d))),
+    "parse_status": lambda sp, d: p.status_summary(_status(sp, d)),
+    "parse_log_subjects": lambda sp, d: p.log_subjects(_status(sp, d)),
     "log_json": lambda sp, d: _json_lines(sp, d).select("doc_id", "pos", lg.json_level(F.col("line")).alias("level"), lg.json_message(F.col("line")).alias("message")),
     "log_frames": lambda sp, d: lg.last_frames(_lines(sp, d).select("doc_id", F.floor(F.col("pos") / 6).alias("entry"), "pos", F.col("raw").alias("frame"))).select("doc_id", "entry", F.md5(F.array_join("frames", "|").cast("binary")).alias("frames"), "elided"),
     "log_compress": _compressed(False),
@@ -212,7 +260,21 @@ _PAIRS = """
 ), ids AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS file_id FROM (SELECT DISTINCT path FROM touches WHERE path NOT LIKE 'tests/%'))
 SELECT file_id, partner, count, round(count::DOUBLE / (x.n + y.n - count), 6) AS jaccard FROM found JOIN ids ON ids.path = partner JOIN nfile x ON x.path = partner JOIN nfile y ON y.path = (SELECT hub FROM hub)"""
 
+_E = "FROM (SELECT event_id AS i, event_type AS t FROM events)"
+_EXT = "(['.py', '.ts', '.rs', '.ts', '.go', '.rb', '.swift', '.ts'])[i % 8 + 1]"
 ORACLES = {
+    "parse_more_tests": f"SELECT i AS doc_id, (['cargo', 'cypress', 'swift'])[i % 3 + 1] AS tool, i % 7 AS passed, i % 3 AS failed, 'full' AS tier {_E}",
+    "parse_more_issues": f"SELECT i AS doc_id, (['black', 'prettier', 'rustfmt', 'dprint', 'golangci', 'rubocop', 'swiftlint', 'oxlint'])[i % 8 + 1] AS tool, 0 AS pos, (['', 'src/', '/x/', '/x/', '', '', '', ''])[i % 8 + 1] || t || {_EXT} AS file, CASE WHEN i % 8 IN (2, 4, 5, 6, 7) THEN 1 + i % 50 END AS line, (['warning', 'warning', 'warning', 'warning', 'warning', 'info', 'warning', 'error'])[i % 8 + 1] AS severity, CASE WHEN i % 8 < 4 THEN 'not formatted' ELSE 'm' END AS message, (['black/format', 'prettier/format', 'rustfmt/format', 'dprint/format', 'errcheck', 'Style/X', 'long', 'no-x'])[i % 8 + 1] AS rule {_E}",
+    "parse_maven": f"SELECT i AS doc_id, 'maven' AS tool, i % 3 = 0 AS success, i % 3 AS errors, i % 4 AS warnings, 2500 AS duration_ms {_E}",
+    "parse_scripts": f"SELECT i AS doc_id, t || '@1.0.0' AS package, 'build' AS script, i % 3 > 0 AS success, CASE WHEN i % 3 = 0 THEN 1 + i % 5 END AS exit_code, (i % 3 = 0)::INT AS errors, 'full' AS tier {_E}",
+    "parse_image_builds": f"SELECT i AS doc_id, 2 + i % 5 AS steps, i % 3 AS cached, CASE WHEN i % 4 > 0 THEN 'sha256:' || lower(to_hex(i + 16)) END AS image, i % 4 > 0 AS success, 'full' AS tier {_E}",
+    "parse_name_lookups": f"SELECT i AS doc_id, '10.0.0.' || (i % 9) AS server, CASE WHEN i % 3 > 0 THEN t || '.org' ELSE '' END AS names, CASE WHEN i % 3 > 0 THEN '1.2.3.' || (i % 200) ELSE '' END AS addresses, CASE WHEN i % 3 = 0 THEN 'NXDOMAIN' END AS error, 'full' AS tier {_E}",
+    "parse_downloads": f"SELECT i AS doc_id, 'https://a.org/' || t AS url, CASE WHEN i % 3 = 0 THEN 404 ELSE 200 END AS status, CASE WHEN i % 3 > 0 THEN i END AS bytes, CASE WHEN i % 3 > 0 THEN t END AS file, i % 3 > 0 AS success, 'full' AS tier {_E}",
+    "parse_descriptions": f"SELECT i AS doc_id, t AS name, 'n' || (i % 5) AS namespace, 'Running' AS status, i % 3 AS normal, i % 4 AS warnings, 'full' AS tier {_E}",
+    "parse_check_runs": f"SELECT i AS doc_id, i % 4 AS passed, i % 3 AS failed, 1 AS pending, 0 AS skipped, CASE WHEN i % 3 > 0 THEN t ELSE '' END AS failing, 'full' AS tier {_E}",
+    "parse_diff_summary": f"SELECT i AS doc_id, t AS file, 1 AS hunks, i % 4 AS added, i % 3 AS removed, t || ' (+' || (i % 4) || ' -' || (i % 3) || ', 1 hunks)' AS text {_E}",
+    "parse_status": f"SELECT i AS doc_id, t AS branch, i % 5 AS ahead, i % 3 AS behind, 1 AS staged, i % 4 AS unstaged, i % 3 AS untracked, 0 AS conflicts {_E}",
+    "parse_log_subjects": f"SELECT i AS doc_id, (3 + i % 4 + i % 3)::INT AS pos, lpad(lower(to_hex(i)), 9, 'a') AS hash, t || ' subject' AS subject {_E}",
     "log_json": _RAW + " SELECT doc_id, pos, (['INFO', 'DEBUG', 'ERROR'])[pos % 3 + 1] AS level, CASE WHEN length(raw) > 16384 THEN substr(raw, 1, 16384) || '[truncated]' ELSE raw END AS message FROM raw",
     "log_frames": _RAW + " SELECT doc_id, pos // 6 AS entry, md5(string_agg(raw, '|' ORDER BY pos) FILTER (back <= 3)) AS frames, count(*) FILTER (back > 3)::INT AS elided FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pos // 6 ORDER BY pos DESC) AS back FROM raw) GROUP BY 1, 2",
     "log_compress": _LOGS + f" SELECT {_MERGE} FROM (SELECT * FROM js WHERE level <> 'DEBUG' UNION ALL SELECT * FROM en) GROUP BY doc_id, level, lower(message) UNION ALL SELECT * FROM plain",

@@ -81,7 +81,7 @@ def test_infra_tables_and_history(spark):
     got = [(r.doc_id, r.label, r.value) for r in to.infra_items(_out(spark, rows)).orderBy("doc_id", "pos").collect()]
     assert got == [
         (0, "Name", "x"), (0, "Size", "3"), (1, "ID", "1"), (1, "ID", "2"), (2, "n", "1"), (2, "n", "2"), (3, "add", "2"), (3, "change", "0"), (3, "destroy", "1"), (4, "a.org A", "1.2.3.4"),
-        (5, "name", "pod-a"), (5, "ready", "1/1"), (5, "status", "Running"), (6, "Name", "x"), (6, "Status", "Up"),
+        (5, "name", "pod-a"), (5, "ready", "1/1"), (5, "status", "Running"), (6, "Name", "x"), (6, "Status", "Up"), (7, None, None), (8, None, "text"),
     ]
     rows = [("psql", " id | n\n----+---\n 1 | a\n(1 row)"), ("mysql", "id\tn\n1\ta"), ("mysql", "+--+--+\n| id | n |\n+--+--+\n| 1 | a |\n+--+--+\n1 row in set"), ("sqlite3", "id|n\n1|a"), ("psql", "")]
     got = [(r.columns, r.rows) for r in to.db_rows(_out(spark, rows)).orderBy("doc_id").collect()]
@@ -95,3 +95,24 @@ def test_infra_tables_and_history(spark):
     rows = [("tree", ".\n|-- a\n\n3 directories, 14 files"), ("ls", "total 8\ndrwxr-xr-x 2 r r 1 a\n-rw-r--r-- 1 r r 1 b"), ("wc", " 3 a"), ("find", None)]
     got = [(r.entries, r.folders, r.files) for r in to.file_results(_out(spark, rows)).orderBy("doc_id").collect()]
     assert got == [(3, 3, 14), (2, 1, 1), (1, None, None), (0, None, None)]
+
+
+def test_scripts_images_names_downloads_descriptions_checks(spark):
+    rows = [("npm", "> app@1.0.0 build\n> tsc -p .\n\nerror TS1\nnpm ERR! code ELIFECYCLE\nnpm ERR! Exit status 2"), ("npm", "> app@1.0.0 test\n> x\nok"), ("npm", "hm"), ("npm", None)]
+    got = [(r.package, r.script, r.success, r.exit_code, r.tier) for r in to.script_results(_out(spark, rows)).orderBy("doc_id").collect()]
+    assert got == [("app@1.0.0", "build", False, 2, "full"), ("app@1.0.0", "test", True, None, "full"), (None, None, True, None, "passthrough"), (None, None, None, None, "passthrough")]
+    rows = [("docker", "#1 [internal] load\n#4 [1/3] FROM x\n#4 CACHED\n#5 [2/3] RUN a\n#5 DONE 1.5s\n#6 [3/3] COPY . .\n#7 writing image sha256:abc123 done"), ("docker", "Step 1/2 : FROM x\n ---> Using cache\nStep 2/2 : RUN y\nSuccessfully built 0a1b2c"), ("docker", "#5 [2/3] RUN a\n#5 ERROR: exit code: 1"), ("docker", None)]
+    got = [(r.steps, r.cached, r.image, r.success, r.tier) for r in to.image_builds(_out(spark, rows)).orderBy("doc_id").collect()]
+    assert got == [(3, 1, "sha256:abc123", True, "full"), (2, 1, "0a1b2c", True, "full"), (3, 0, None, False, "full"), (None, 0, None, None, "passthrough")]
+    rows = [("nslookup", "Server:\t\t10.0.0.1\nAddress:\t10.0.0.1#53\n\nNon-authoritative answer:\nName:\ta.org\nAddress: 1.2.3.4\nName:\ta.org\nAddress: 1.2.3.5"), ("nslookup", "Server: x\n\n** server can't find b.org: NXDOMAIN"), ("nslookup", "")]
+    got = [(r.server, r.names, r.addresses, r.error, r.tier) for r in to.name_lookups(_out(spark, rows)).orderBy("doc_id").collect()]
+    assert got == [("10.0.0.1", ["a.org"], ["1.2.3.4", "1.2.3.5"], None, "full"), ("x", [], [], "NXDOMAIN", "full"), (None, [], [], None, "passthrough")]
+    rows = [("wget", "--2024-- https://a.org/x\nHTTP request sent, awaiting response... 302 Found\nHTTP request sent, awaiting response... 200 OK\nLength: 500 (500) [text/html]\n'x' saved [500/500]"), ("wget", "--2024-- http://a.org/y\nHTTP request sent, awaiting response... 404 Not Found\nERROR 404: Not Found."), ("wget", "z")]
+    got = [(r.url, r.status, r.bytes, r.file, r.success, r.tier) for r in to.downloads(_out(spark, rows)).orderBy("doc_id").collect()]
+    assert got == [("https://a.org/x", 200, 500, "x", True, "full"), ("http://a.org/y", 404, None, None, False, "full"), (None, None, None, None, False, "passthrough")]
+    rows = [("kubectl", "Name:  p\nNamespace: n\nStatus:  Running\nLabels: a=b\nEvents:\n  Type Reason\n  ---- ------\n  Normal  Pulled  x\n  Warning  BackOff y\n  Warning  Failed z"), ("kubectl", "no")]
+    got = [(r.name, r.namespace, r.status, r.normal, r.warnings, r.tier) for r in to.descriptions(_out(spark, rows)).orderBy("doc_id").collect()]
+    assert got == [("p", "n", "Running", 1, 2, "full"), (None, None, None, 0, 0, "passthrough")]
+    rows = [("gh", "build\tpass\t1m\thttps://x\nlint\tfail\t2s\thttps://y\ndeploy\tpending\t0\thttps://z\nskip me\tskipping\t0\t"), ("gh", "no checks")]
+    got = [(r.passed, r.failed, r.pending, r.skipped, r.failing, r.tier) for r in to.check_runs(_out(spark, rows)).orderBy("doc_id").collect()]
+    assert got == [(1, 1, 1, 1, ["lint"], "full"), (0, 0, 0, 0, [], "passthrough")]
