@@ -22,6 +22,14 @@ def _calls(sp, d):
     )
 
 
+def _test_runs(sp, d):
+    """Events as test runs of two suites; every third fails."""
+    i = F.col("event_id")
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    command = F.when(i % 5 == 0, F.concat(F.lit("npm run test "), "event_type")).otherwise(F.concat(F.lit("cargo test unit "), "event_type"))
+    return table(sp, d, "events").select(F.col("user_id").cast("string").alias("session_id"), seq.alias("seq"), F.lit("Bash").alias("tool"), command.alias("command"), (i % 3 == 0).alias("is_error"), F.col("props").alias("result"))
+
+
 def _nodes(sp, d):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     li = table(sp, d, "lineitem").withColumn("ord", F.row_number().over(w) - 1)
@@ -50,7 +58,7 @@ QUERIES = {
     "session_discover": lambda sp, d: ss.discover(_calls(sp, d)),
     "session_corrections": lambda sp, d: ss.corrections(_calls(sp, d)),
     "session_rules": lambda sp, d: ss.correction_rules(ss.corrections(_calls(sp, d)), 2),
-    "session_tdd_cycles": lambda sp, d: ss.tdd_cycles(_calls(sp, d)),
+    "session_tdd_cycles": lambda sp, d: ss.tdd_cycles(_test_runs(sp, d)),
     "structural_ngrams": lambda sp, d: st.ngrams(_nodes(sp, d)),
     "structural_search": _structural,
     "stream_windowed_savings": _windows,
@@ -74,6 +82,9 @@ ORACLES = {
 ), p AS (SELECT a.session_id, a.seq, a.command, b.command AS fixed, b.seq AS seq_at FROM calls a JOIN calls b ON a.session_id = b.session_id AND b.seq BETWEEN a.seq + 1 AND a.seq + 5 AND NOT b.failed
   WHERE a.failed AND starts_with(b.command, 'cargo test ') AND levenshtein(a.command, b.command) BETWEEN 1 AND 3 AND NOT EXISTS (SELECT 1 FROM tdd WHERE tdd.session_id = a.session_id AND tdd.seq = a.seq))
 SELECT session_id, seq, command, arg_min(fixed, seq_at) AS fixed, 'typo' AS kind FROM p GROUP BY ALL""",
+    "session_tdd_cycles": """WITH r AS (SELECT user_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, event_id % 5 = 0 AS suite, event_id % 3 = 0 AS failed FROM events
+), ahead AS (SELECT a.session_id, a.seq, list(b.failed ORDER BY b.seq) FILTER (a.suite = b.suite) AS f FROM r a JOIN r b ON a.session_id = b.session_id AND b.seq BETWEEN a.seq + 1 AND a.seq + 10 WHERE a.failed GROUP BY 1, 2)
+SELECT session_id, seq FROM ahead WHERE len(list_filter(range(1, len(f) + 1), lambda i: f[i] <> CASE WHEN i = 1 THEN true ELSE f[i - 1] END)) >= 2""",
     "structural_ngrams": "WITH " + _GRAMS + " SELECT * FROM t",
     "structural_search": "WITH " + _GRAMS + """
 , l AS (SELECT o_orderkey AS doc_id, o_orderstatus AS lang FROM orders), size AS (SELECT doc_id, count(*) AS nodes FROM n GROUP BY 1
@@ -82,3 +93,5 @@ SELECT session_id, seq, command, arg_min(fixed, seq_at) AS fixed, 'typo' AS kind
 SELECT doc_id, round(sum(idf * tf / (tf + 1.2)), 6) AS score FROM x GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 50""",
     "stream_windowed_savings": with_views(" SELECT strftime(ts, '%Y-%m-%d') AS day, command_type, sum(greatest(raw_tokens - compressed_tokens, 0))::BIGINT AS tokens_saved, count(*) AS n FROM savings JOIN (SELECT event_id, ts FROM events) USING (event_id) GROUP BY 1, 2"),
 }
+ORACLES["session_rules"] = f"""SELECT array_to_string(string_split(command, ' ')[1:3], ' ') AS wrong, array_to_string(string_split(fixed, ' ')[1:3], ' ') AS "right", count(*) AS occurrences, count(DISTINCT session_id) AS sessions
+FROM ({ORACLES["session_corrections"]}) GROUP BY 1, 2 HAVING count(*) >= 2"""
