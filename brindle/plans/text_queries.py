@@ -41,6 +41,14 @@ def _doc(f, name="out"):
 
 _PAIRS = [("git comit", "git commit"), ("ls a/b", "ls c/d"), ("ls a/b", "ls c/d e"), ("x" * 30, "y"), ("same", "same")]
 
+
+
+def _pairs(sp, d):
+    """Pairs of commands: one an event, of its type and value, and a few spelt-out ones."""
+    e = table(sp, d, "events").selectExpr("concat('run ', event_type, ' src/', user_id, ' -n ', event_id % 7) AS a", "concat(if(event_id % 3 = 0, 'rn ', 'run '), event_type, if(event_id % 2 = 0, ' lib/', ' src/'), user_id, if(event_id % 5 = 0, repeat(' more', 3), concat(' -n ', event_id % 11))) AS b")
+    return e.unionByName(sp.createDataFrame(_PAIRS, "a string, b string"))
+
+
 QUERIES = {
     "text_language_path": _on(tx.language_of_path),
     "text_language_shebang": _on(tx.language_of_shebang),
@@ -58,7 +66,7 @@ QUERIES = {
     "text_hunk_header": lambda sp, d: _texts(sp, d).select("id", *tx.hunk_header(F.col("text"))),
     "text_rename": _on(tx.rename_target),
     "text_encoding": _on(tx.encoding_for_model),
-    "text_edit_distance": lambda sp, d: sp.createDataFrame(_PAIRS, "a string, b string").select("a", "b", tx.bounded_levenshtein(F.col("a"), F.col("b")).alias("distance"), tx.path_only_difference(F.col("a"), F.col("b")).alias("path_only")),
+    "text_edit_distance": lambda sp, d: _pairs(sp, d).select("a", "b", tx.bounded_levenshtein(F.col("a"), F.col("b")).alias("distance"), tx.path_only_difference(F.col("a"), F.col("b")).alias("path_only")),
     "text_truncate_head": _doc(lambda c: F.md5(tx.truncate_head(c, 3).cast("binary"))),
     "text_truncate_tail": _doc(lambda c: F.md5(tx.truncate_tail(c, 3).cast("binary"))),
     "text_content_hash": _doc(lambda c: F.sha2(c.cast("binary"), 256), "sha256"),
@@ -77,7 +85,7 @@ def _q(s: str) -> str:
 
 
 _S = "WITH s AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - event_id, props FROM events UNION ALL SELECT unnest(range(1000000000000, %d)), unnest([%s]))" % (10**12 + len(SAMPLES), ", ".join(_q(x) for x in SAMPLES))
-_P = "WITH p(a, b) AS (VALUES " + ", ".join(f"({_q(a)}, {_q(b)})" for a, b in _PAIRS) + ")"
+_P = "WITH p(a, b) AS (SELECT 'run ' || event_type || ' src/' || user_id || ' -n ' || (event_id % 7), CASE WHEN event_id % 3 = 0 THEN 'rn ' ELSE 'run ' END || event_type || CASE WHEN event_id % 2 = 0 THEN ' lib/' ELSE ' src/' END || user_id || CASE WHEN event_id % 5 = 0 THEN ' more more more' ELSE ' -n ' || (event_id % 11) END FROM events UNION ALL VALUES " + ", ".join(f"({_q(a)}, {_q(b)})" for a, b in _PAIRS) + ")"
 _EXT = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in tx.EXTENSIONS.items()) + "}"
 _INT = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in tx.INTERPRETERS.items()) + "}"
 _KEY = f"(upper({{0}}) IN {tx.SENSITIVE_NAMES} OR regexp_matches(upper({{0}}), '({'|'.join(tx.SENSITIVE_SUFFIXES)})$'))"
