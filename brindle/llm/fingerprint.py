@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,11 @@ LEVELS = 5
 BINS = 64
 #: A level speaks for two texts if both have this many phrases there; the highest such level is compared.
 ENOUGH = 16
-#: Bytes of text in one range of documents, about, and the most ranges there are; a range is read as a stream, so a larger
-#: one costs time in its task, not memory.
-RANGE_BYTES, MOST_RANGES = 32 << 20, 16_384
+#: Bytes of text in one range of documents, about, and the most ranges there are; a range is one task, which reads it as a
+#: stream, so a larger one costs time, not memory.
+RANGE_BYTES, MOST_RANGES = 4 << 20, 65_536
 #: Rows of the sample that sets the ranges' bounds, for each range.
-SAMPLED = 16
+SAMPLED = 8
 
 _EMPTY = np.uint32(0xFFFFFFFF)
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -193,11 +194,12 @@ def _bounds(rows: DataFrame) -> list[tuple]:
     """
     spark = rows.sparkSession
     total = rows.agg(F.sum("bytes")).first()[0] or 0
-    n = min(MOST_RANGES, max(16 * spark.sparkContext.defaultParallelism, -(-total // RANGE_BYTES)))
+    n = min(MOST_RANGES, max(4 * spark.sparkContext.defaultParallelism, -(-total // RANGE_BYTES)))
     chance = F.pmod(F.xxhash64("doc_id", "th", F.lit(8)), F.lit(1 << 30)) / float(1 << 30) * max(total, 1)
     # a row of many times the usual share stands for several
     picked = rows.filter(chance < F.col("bytes") * F.lit(float(SAMPLED * n))).select(F.col("doc_id").isNull().alias("none"), "doc_id", "th", F.greatest(F.lit(1), F.floor(F.col("bytes") * F.lit(float(SAMPLED * n)) / max(total, 1))).alias("w"))
-    keys = sorted((not r.none, r.doc_id or 0, r.th, r.w) for r in picked.collect())
+    found = picked.toArrow().to_pydict()
+    keys = sorted((not none, i or 0, th, w) for none, i, th, w in zip(*found.values(), strict=True))
     out, seen, step = [], 0.0, max(1.0, sum(k[3] for k in keys) / n)
     for k in keys:
         if seen >= step:
@@ -222,6 +224,14 @@ def _range_of(keys: list[tuple]) -> Column:
     return F.when(first == 0, 0).otherwise((first - 1) * step + below(F.element_at(parts, F.greatest(first, F.lit(1)))))
 
 
+def _slots(spark, n: int) -> list[int]:
+    """For each of n partitions an integer that ``repartition(n, integer)`` deals to it, so that every range is a task of its own."""
+    tried = spark.range(int(n * (math.log(n + 1) + 12))).select(F.col("id").cast("int").alias("slot"))
+    found = tried.groupBy(F.pmod(F.hash("slot"), F.lit(n)).alias("at")).agg(F.min("slot").alias("slot")).collect()
+    slots = {r["at"]: r.slot for r in found}
+    return [slots.get(i, i) for i in range(n)]
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint every whole text and its edited text, and compare them and the next document's.
 
@@ -245,5 +255,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     there = F.struct(F.col("before").alias("range"), F.lit(True).alias("copy"))
     is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th"))
     placed = rows.join(first, F.col("range") == F.col("first_range")).select(F.explode(F.when(is_first, F.array(here, there)).otherwise(F.array(here))).alias("at"), "doc_id", "th", "text")
-    placed = placed.select("at.range", "at.copy", "doc_id", "th", "text").repartition("range").sortWithinPartitions("range", "copy", "doc_id", "th", "text").drop("th")
+    n = len(bounds) + 1
+    slot = F.get(F.array(*map(F.lit, _slots(spark, n))) if n <= 128 else F.from_json(F.lit(json.dumps(_slots(spark, n))), "array<int>"), F.col("range"))
+    placed = placed.select("at.range", "at.copy", "doc_id", "th", "text").withColumn("slot", slot).repartition(n, "slot")
+    placed = placed.sortWithinPartitions("range", "copy", "doc_id", "th", "text").select("range", "copy", "doc_id", "text")
     return placed.mapInArrow(_compare_neighbours, StructType.fromDDL(SCHEMA))
