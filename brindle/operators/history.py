@@ -82,6 +82,11 @@ def small_commits(touches: DataFrame, limit: int = PAIR_LIMIT, least: int = 1) -
     return touches.select("hash", "path").distinct().join(size, "hash")
 
 
+def similarity(both: Column, a: Column, b: Column) -> Column:
+    """Jaccard similarity of two files by the commits of both and of each."""
+    return F.round(both / (a + b - both), 6)
+
+
 def cochange(touches: DataFrame, limit: int = PAIR_LIMIT) -> DataFrame:
     """file_a < file_b, count, jaccard. A commit makes at most limit * (limit - 1) / 2 pairs, so rows stay linear in commits."""
     files = small_commits(touches, limit).select("hash", "path")
@@ -89,7 +94,7 @@ def cochange(touches: DataFrame, limit: int = PAIR_LIMIT) -> DataFrame:
     pairs = a.join(b, "hash").filter("file_a < file_b").groupBy("file_a", "file_b").agg(F.count("*").alias("count"))
     n = files.groupBy("path").agg(F.count("*").alias("n"))
     out = pairs.join(n.select(F.col("path").alias("file_a"), F.col("n").alias("n_a")), "file_a").join(n.select(F.col("path").alias("file_b"), F.col("n").alias("n_b")), "file_b")
-    return out.select("file_a", "file_b", "count", F.round(F.col("count") / (F.col("n_a") + F.col("n_b") - F.col("count")), 6).alias("jaccard"))
+    return out.select("file_a", "file_b", "count", similarity(F.col("count"), F.col("n_a"), F.col("n_b")).alias("jaccard"))
 
 
 def partners(pairs: DataFrame, path: str, least: float = 0.10, limit: int = 10_000) -> DataFrame:

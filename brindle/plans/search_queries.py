@@ -49,9 +49,8 @@ def _qrels(sp, d):
 
 
 def _cochange_eval(sp, d):
-    t, s = scratch.written(touches(sp, d).select("hash", "path"), "touches"), scratch.written(h.split(commits(sp, d)), "split")
-    train, test = t.join(s.filter("train"), "hash", "left_semi"), t.join(s.filter("NOT train"), "hash", "left_semi")
-    return ev.predict_cochange(test, h.cochange(train), train, (0.01, 0.02, 0.05))
+    split = scratch.written(h.split(commits(sp, d)), "split")
+    return ev.predict_cochange(touches(sp, d).select("hash", "path").join(split, "hash"), (0.01, 0.02, 0.05))
 
 
 def _selectivity(sp, d):

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Shuffle files of a query are deleted when it ends, not when the driver's JVM collects what refers to them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset, a folder of our own, on a local master only."""
@@ -21,12 +24,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as Parquet in the shared folder, read back: computed once, and safe from lost executors. Deleted when the driver ends."""
+    """``df`` as Parquet in the shared folder, read back: computed once, and safe from lost executors. The shuffle files behind it
+    go at once; its own files go with ``release``, or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     keep_until_end(spark, path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files behind written frames that nothing reads any more."""
+    for df in frames:
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def keep_until_end(spark: SparkSession, path: str) -> None:
