@@ -121,10 +121,12 @@ def _transcripts(layout: str):
 
 
 def _stream(sp, d, step, mode: str, batch=None):
-    """Run ``step`` over the events table as a stream, to its end; what it wrote, read back."""
+    """Run ``step`` over the events table (a file or a folder of files) as a stream, to its end; what it wrote, read back.
+
+    The pattern keeps Spark from taking the path for a base folder, which a file can't be."""
     out = f"{scratch.shared_dir(sp).rstrip('/')}/stream-{uuid.uuid4().hex}"
     scratch.keep_until_end(sp, out)
-    source = sp.readStream.schema(table(sp, d, "events").schema).option("pathGlobFilter", "events.parquet*").option("recursiveFileLookup", "true").parquet(d)
+    source = sp.readStream.schema(table(sp, d, "events").schema).option("recursiveFileLookup", "true").parquet(f"{d}/events.parque[t]")
     frame = step(source)
     query = frame.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{out}/state").foreachBatch(lambda df, n: df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/rows")).start()
     query.awaitTermination()
