@@ -53,9 +53,14 @@ def json_level(line: Column) -> Column:
     return F.upper(F.substring(F.coalesce(*keys), 1, 32))
 
 
+def json_text(line: Column) -> Column:
+    """The message of a JSON line, whole."""
+    return F.coalesce(*(F.get_json_object(line, f"$.{k}") for k in ("msg", "message", "text", "body")))
+
+
 def json_message(line: Column) -> Column:
-    keys = [F.get_json_object(line, f"$.{k}") for k in ("msg", "message", "text", "body")]
-    m = F.coalesce(*keys)
+    """The message of a JSON line for display: cut after 16,384 characters."""
+    m = json_text(line)
     return F.when(F.length(m) > 16_384, F.concat(F.substring(m, 1, 16_384), F.lit("[truncated]"))).otherwise(m)
 
 
@@ -88,7 +93,7 @@ FRAME = r"^\s+(?:at\s|File\s+\")"
 def structured(docs: DataFrame) -> DataFrame:
     """doc_id, tier, pos, ts, level, message, elided of whole logs (doc_id, text), one row an entry.
 
-    tier full: the first line with words is JSON, and each line gives its level and message (lines that are no JSON stay
+    tier full: the first line with words is JSON, and each line gives its level and whole message (lines that are no JSON stay
     as they are). degraded: some line has a time, a level or is a stack frame; frames go to the entry before them, the last
     three of each. passthrough: nothing of that; one row with the whole text. Null texts have no row.
     """
@@ -96,7 +101,7 @@ def structured(docs: DataFrame) -> DataFrame:
     first = lines.groupBy("doc_id").agg(F.min_by("line", "pos").alias("first")).select("doc_id", F.try_parse_json("first").isNotNull().alias("json"))
     lines = lines.join(first, "doc_id").withColumn("frame", F.col("line").rlike(FRAME))
     is_json = F.try_parse_json("line").isNotNull()
-    full = lines.filter("json").select("doc_id", F.lit("full").alias("tier"), "pos", F.lit(None).cast("string").alias("ts"), F.when(is_json, json_level(F.col("line"))).alias("level"), F.coalesce(F.when(is_json, json_message(F.col("line"))), F.trim("line")).alias("message"), F.lit(0).alias("elided"))
+    full = lines.filter("json").select("doc_id", F.lit("full").alias("tier"), "pos", F.lit(None).cast("string").alias("ts"), F.when(is_json, json_level(F.col("line"))).alias("level"), F.coalesce(F.when(is_json, json_text(F.col("line"))), F.trim("line")).alias("message"), F.lit(0).alias("elided"))
     order = Window.partitionBy("doc_id").orderBy("pos")
     rest = lines.filter("NOT json").withColumn("entry", F.count_if(~F.col("frame")).over(order))
     said = entries(rest.filter("NOT frame").select("doc_id", "pos", "line", "entry"), "entry")
