@@ -25,19 +25,20 @@ def entries(lines: DataFrame, *carry: str) -> DataFrame:
     )
 
 
-def deduplicate(rows: DataFrame, lossless: bool = False, keep_debug: bool = False) -> DataFrame:
+def deduplicate(rows: DataFrame, lossless: bool = False, keep_debug: bool = False, *carry: str) -> DataFrame:
     """One row for each (document, level, message): count, first position, first spelling, first and last stamp by position.
+    ``carry`` are columns with one value a document.
 
     Messages are compared without case unless ``lossless``. Aggregated before the shuffle; long runs of one line are one row.
     """
     some = rows if keep_debug else rows.filter(~F.coalesce(F.col("level").isin(*HIDDEN), F.lit(False)))
     key = F.col("message") if lossless else F.lower("message")
     seen = F.when(F.col("ts").isNotNull(), F.col("pos"))
-    out = some.groupBy("doc_id", F.coalesce("level", F.lit("")).alias("lv"), key.alias("k")).agg(
+    out = some.groupBy("doc_id", *carry, F.coalesce("level", F.lit("")).alias("lv"), key.alias("k")).agg(
         F.min("pos").alias("pos"), F.min_by("message", "pos").alias("message"), F.count("*").alias("count"),
         F.min_by("ts", seen).alias("min_timestamp"), F.max_by("ts", seen).alias("max_timestamp"),
     )
-    return out.select("doc_id", "pos", F.when(F.col("lv") != "", F.col("lv")).alias("level"), "message", "count", "min_timestamp", "max_timestamp")
+    return out.select("doc_id", *carry, "pos", F.when(F.col("lv") != "", F.col("lv")).alias("level"), "message", "count", "min_timestamp", "max_timestamp")
 
 
 def totals(rows: DataFrame) -> DataFrame:
@@ -97,26 +98,34 @@ def structured(docs: DataFrame) -> DataFrame:
     as they are). degraded: some line has a time, a level or is a stack frame; frames go to the entry before them, the last
     three of each. passthrough: nothing of that; one row with the whole text. Null texts have no row.
     """
-    lines = docs.filter("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\r?\n")).alias("pos", "line")).filter(F.col("line").rlike(r"\S"))
-    first = lines.groupBy("doc_id").agg(F.min_by("line", "pos").alias("first")).select("doc_id", F.try_parse_json("first").isNotNull().alias("json"))
-    lines = lines.join(first, "doc_id").withColumn("frame", F.col("line").rlike(FRAME))
-    is_json = F.try_parse_json("line").isNotNull()
-    full = lines.filter("json").select("doc_id", F.lit("full").alias("tier"), "pos", F.lit(None).cast("string").alias("ts"), F.when(is_json, json_level(F.col("line"))).alias("level"), F.coalesce(F.when(is_json, json_text(F.col("line"))), F.trim("line")).alias("message"), F.lit(0).alias("elided"))
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    rest = lines.filter("NOT json").withColumn("entry", F.count_if(~F.col("frame")).over(order))
-    said = entries(rest.filter("NOT frame").select("doc_id", "pos", "line", "entry"), "entry")
-    known = rest.groupBy("doc_id").agg(F.max("frame").alias("framed")).join(said.groupBy("doc_id").agg(F.max(F.coalesce("ts", "level").isNotNull()).alias("said")), "doc_id", "left")
-    known = known.select("doc_id", (F.col("framed") | F.coalesce("said", F.lit(False))).alias("known"))
-    frames = last_frames(rest.filter("frame AND entry > 0").select("doc_id", "entry", "pos", F.trim("line").alias("frame")))
-    joined = said.join(known.filter("known").select("doc_id"), "doc_id", "left_semi").join(frames, ["doc_id", "entry"], "left")
-    message = F.concat_ws("\n", "message", F.array_join("frames", "\n"))
-    degraded = joined.select("doc_id", F.lit("degraded").alias("tier"), "pos", "ts", "level", F.when(F.col("frames").isNotNull(), message).otherwise(F.col("message")).alias("message"), F.coalesce("elided", F.lit(0)).alias("elided"))
-    plain = docs.filter("text IS NOT NULL").join(known.filter("known").select("doc_id").unionByName(first.filter("json").select("doc_id")), "doc_id", "left_anti")
+    every = F.transform(F.split("text", "\r?\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
+    tiered = docs.filter("text IS NOT NULL").select("doc_id", "text", F.filter(every, lambda r: r["line"].rlike(r"\S")).alias("lines"))
+    known = F.exists("lines", lambda r: r["line"].rlike(FRAME) | r["line"].rlike(STAMP) | r["line"].rlike(LEVEL))
+    tier = F.when(F.try_parse_json(F.get("lines", F.lit(0))["line"]).isNotNull(), "full").when(known, "degraded").otherwise("passthrough")
+    tiered = tiered.withColumn("tier", tier)
+    of = lambda name: tiered.filter(F.col("tier") == name).select("doc_id", F.lit(name).alias("tier"), F.explode("lines").alias("l")).select("doc_id", "tier", "l.*")
     none = F.lit(None).cast("string")
-    passed = plain.select("doc_id", F.lit("passthrough").alias("tier"), F.lit(0).alias("pos"), none.alias("ts"), none.alias("level"), F.col("text").alias("message"), F.lit(0).alias("elided"))
+    is_json = F.try_parse_json("line").isNotNull()
+    full = of("full").select("doc_id", "tier", "pos", none.alias("ts"), F.when(is_json, json_level(F.col("line"))).alias("level"), F.coalesce(F.when(is_json, json_text(F.col("line"))), F.trim("line")).alias("message"), F.lit(0).alias("elided"))
+    said = entries(_with_frames(of("degraded")), "tier", "frames", "elided")
+    message = F.when(F.size("frames") > 0, F.concat_ws("\n", "message", F.array_join("frames", "\n"))).otherwise(F.col("message"))
+    degraded = said.select("doc_id", "tier", "pos", "ts", "level", message.alias("message"), "elided")
+    passed = tiered.filter("tier = 'passthrough'").select("doc_id", "tier", F.lit(0).alias("pos"), none.alias("ts"), none.alias("level"), F.col("text").alias("message"), F.lit(0).alias("elided"))
     return full.unionByName(degraded).unionByName(passed)
 
 
+def _with_frames(lines: DataFrame, keep: int = 3) -> DataFrame:
+    """Lines (doc_id, tier, pos, line) that are no stack frames, with the last ``keep`` frames that follow each and how many were left
+    out. Both windows and the groups lie in one shuffle by document."""
+    frame, entry = F.col("line").rlike(FRAME), Window.partitionBy("doc_id", "tier", "entry")
+    rows = lines.withColumn("frame", frame).withColumn("entry", F.count_if(~F.col("frame")).over(Window.partitionBy("doc_id").orderBy("pos")))
+    rows = rows.withColumn("back", F.row_number().over(entry.orderBy(F.desc("pos"))))
+    kept = F.sort_array(F.collect_list(F.when(F.col("frame") & (F.col("back") <= keep), F.struct("pos", F.trim("line").alias("line")))))
+    first = F.max(F.when(~F.col("frame"), F.struct("pos", "line")))
+    out = rows.groupBy("doc_id", "tier", "entry").agg(first.alias("e"), kept.alias("f"), F.greatest(F.count_if("frame") - keep, F.lit(0)).cast("int").alias("elided"))
+    return out.filter("entry > 0").select("doc_id", "tier", "e.pos", "e.line", F.col("f.line").alias("frames"), "elided")
+
+
 def compress(docs: DataFrame, lossless: bool = False, keep_debug: bool = False) -> DataFrame:
     """doc_id, tier, pos, level, message, count, min_timestamp, max_timestamp: logs with each (level, message) once.
 
@@ -129,9 +138,8 @@ def compress(docs: DataFrame, lossless: bool = False, keep_debug: bool = False)
         none = F.lit(None).cast("string")
         whole = docs.join(lost, "doc_id", "left_semi").select("doc_id", F.lit("passthrough").alias("tier"), F.lit(0).alias("pos"), none.alias("ts"), none.alias("level"), F.col("text").alias("message"), F.lit(0).alias("elided"))
         rows = rows.join(lost, "doc_id", "left_anti").unionByName(whole)
-    tiers = rows.select("doc_id", "tier").distinct()
     passed = F.col("tier") == "passthrough"
-    merged = deduplicate(rows.filter(~passed), lossless, keep_debug or lossless).join(tiers, "doc_id")
+    merged = deduplicate(rows.filter(~passed), lossless, keep_debug or lossless, "tier")
     none = F.lit(None).cast("string")
     whole = rows.filter(passed).select("doc_id", "tier", "pos", "level", "message", F.lit(1).cast("bigint").alias("count"), none.alias("min_timestamp"), none.alias("max_timestamp"))
     return merged.select("doc_id", "tier", "pos", "level", "message", "count", "min_timestamp", "max_timestamp").unionByName(whole)
